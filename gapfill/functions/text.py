@@ -85,17 +85,16 @@ def ngrams(col: Column | str, n: Sequence[int] = (1, 2), min_len: int = 1) -> Co
     """All word n-grams with ``n[0] <= n <= n[1]`` of one row."""
     low, high = n[0], n[-1]
 
+    def of_size(t: Column, size: int) -> Column:
+        if size == 1:
+            return t
+        joined = F.transform(
+            F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.array_join(F.slice(t, i, size), " ")
+        )
+        return F.when(F.size(t) >= size, joined).otherwise(F.array().cast("array<string>"))
+
     def grams(t: Column) -> Column:
-        parts = []
-        for size in range(low, high + 1):
-            if size == 1:
-                parts.append(t)
-                continue
-            joined = F.transform(
-                F.sequence(F.lit(1), F.size(t) - (size - 1)),
-                lambda i, size=size: F.array_join(F.slice(t, i, size), " "),
-            )
-            parts.append(F.when(F.size(t) >= size, joined).otherwise(F.array().cast("array<string>")))
+        parts = [of_size(t, size) for size in range(low, high + 1)]
         return parts[0] if len(parts) == 1 else F.concat(*parts)
 
     return let(tokens(col, min_len), grams)

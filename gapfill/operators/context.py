@@ -50,6 +50,10 @@ class ContextEncoder:
         return ContextModel(tuple(numeric), categories)
 
 
+def _one_hot(known: Column, value: Column) -> Column:
+    return F.transform(known, lambda v: v.eqNullSafe(value).cast("double"))
+
+
 @dataclass(frozen=True)
 class ContextModel:
     numeric: tuple[str, ...]
@@ -68,8 +72,7 @@ class ContextModel:
         parts = [F.array(*[F.nanvl(_col(c).cast("double"), F.lit(None).cast("double")) for c in self.numeric])]
         for c, values in self.categories.items():
             known = F.array(*[F.lit(v).cast("string") for v in values])
-            value = _col(c).cast("string")
-            parts.append(F.transform(known, lambda v, value=value: v.eqNullSafe(value).cast("double")))
+            parts.append(_one_hot(known, _col(c).cast("string")))
         return F.concat(*[p.cast("array<double>") for p in parts])
 
     def transform(self, df: DataFrame, out: str = "context") -> DataFrame:

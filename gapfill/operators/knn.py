@@ -22,7 +22,7 @@ from gapfill.operators.context import ContextEncoder, ContextModel
 from gapfill.operators.embed import SvdEmbed
 from gapfill.operators.similar import nearest_text, topk_similar
 from gapfill.operators.tfidf import TfIdf
-from gapfill.session import materialize
+from gapfill.session import materialize, spread
 
 
 def profiles(df: DataFrame, key: str, encoder: ContextModel) -> DataFrame:
@@ -108,7 +108,7 @@ class KnnTextImputer:
 def embed_observed(observed: DataFrame, key: str, text: str, max_features: int, svd: int, seed: int) -> DataFrame:
     """Embeddings of the observed texts, written once: ``(key, embedding)``."""
     tfidf = TfIdf(text, max_features).fit(observed)
-    vectors = tfidf.transform(observed.select(_col(key), _col(text))).drop(text)
+    vectors = tfidf.transform(spread(observed.select(_col(key), _col(text)))).drop(text)
     model = SvdEmbed(svd, seed=seed).fit(vectors, tfidf.dim)
     return materialize(model.transform(vectors).select(key, "embedding"), "embeddings")
 

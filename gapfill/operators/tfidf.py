@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapfill.functions.text import _col, ngrams, term_counts
+from gapfill.session import spread
 
 
 def term_stats(df: DataFrame, text: str, ngram: Sequence[int] = (1, 2), min_len: int = 1, weight: str | None = None) -> DataFrame:
@@ -24,7 +25,8 @@ def term_stats(df: DataFrame, text: str, ngram: Sequence[int] = (1, 2), min_len:
     ``weight`` is the number of rows a (de-duplicated) row stands for.
     """
     w = _col(weight) if weight else F.lit(1)
-    terms = df.select(w.cast("long").alias("_w"), F.explode(term_counts(ngrams(text, ngram, min_len))).alias("_t"))
+    rows = spread(df.select(w.cast("long").alias("_w"), _col(text).alias("_text")))
+    terms = rows.select("_w", F.explode(term_counts(ngrams("_text", ngram, min_len))).alias("_t"))
     return terms.groupBy(F.col("_t.term").alias("term")).agg(
         F.sum(F.col("_t.tf") * F.col("_w")).alias("tf"), F.sum("_w").alias("df")
     )
@@ -98,7 +100,7 @@ class TfIdfModel:
         """Long form ``(key..., term, weight)``: one narrow pass and a lookup of the term names."""
         spark = df.sparkSession
         vec = F.unwrap_udt("vector")
-        long = self.transform(df).select(
+        long = self.transform(spread(df)).select(
             *key, F.explode(F.arrays_zip(vec["indices"].alias("i"), vec["values"].alias("w"))).alias("_e")
         )
         names = spark.createDataFrame(list(enumerate(self.terms)), "_i int, term string")

@@ -46,3 +46,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
+    """Spread a small input over all cores before CPU-heavy work.
+
+    A single small file is one task however many cores there are. Inputs estimated to be larger
+    than ``bytes_per_task`` per core are split by the scan already and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_per_task else df
