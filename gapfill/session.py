@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def build_session(app: str = "gapfill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for; the cluster's own settings win."""
@@ -51,9 +57,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
     """Spread a small input over all cores before CPU-heavy work.
 
-    A single small file is one task however many cores there are. Inputs estimated to be larger
-    than ``bytes_per_task`` per core are split by the scan already and are left alone.
+    A single small file is one task however many cores there are. When the tables below ``df`` are
+    larger than ``bytes_per_task`` per core, the scan has split them already and ``df`` is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     return df.repartition(cores) if size < cores * bytes_per_task else df
+
+
+def gather(df: DataFrame, rows: int, rows_per_task: int = 2_000) -> DataFrame:
+    """Fewer, fuller partitions for a small table that an iterative fit reads many times."""
+    wanted = max(1, -(-rows // rows_per_task))
+    return df.coalesce(wanted) if wanted < df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def in_parallel(calls: Sequence[Callable[[], T]], threads: int = 4) -> list[T]:
+    """Run independent driver-side steps (such as model fits) side by side, results in order."""
+    if len(calls) < 2:
+        return [call() for call in calls]
+    with ThreadPool(min(threads, len(calls))) as pool:
+        return pool.map(lambda call: call(), [inheritable_thread_target(c) for c in calls])
