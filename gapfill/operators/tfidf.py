@@ -73,14 +73,20 @@ class TfIdf:
             raise ValueError("empty vocabulary: no text with any term to fit on")
         rows = sorted((r["term"], r["df"]) for r in vocab)
         idf = [math.log((1 + n) / (1 + d)) + 1.0 for _, d in rows]
-        return TfIdfModel(self, tuple(t for t, _ in rows), tuple(idf), n)
+        terms = [t for t, _ in rows]
+        stages = (
+            CountVectorizerModel.from_vocabulary(terms, inputCol="_terms", outputCol="_tf"),
+            ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf"),
+            Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit"),
+        )
+        return TfIdfModel(self, tuple(terms), stages, n)
 
 
 @dataclass(frozen=True)
 class TfIdfModel:
     config: TfIdf
-    terms: tuple[str, ...]
-    idf: tuple[float, ...] = field(repr=False)
+    terms: tuple[str, ...] = field(repr=False)
+    stages: tuple = field(repr=False)
     n: int = 0
 
     @property
@@ -90,11 +96,10 @@ class TfIdfModel:
     def transform(self, df: DataFrame, out: str = "vector") -> DataFrame:
         """``df`` with a sparse unit vector; terms outside the vocabulary are ignored."""
         cfg = self.config
-        counted = df.withColumn("_terms", ngrams(cfg.text, cfg.ngram, cfg.min_len))
-        counts = CountVectorizerModel.from_vocabulary(list(self.terms), inputCol="_terms", outputCol="_tf")
-        scale = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf")
-        unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol=out)
-        return unit.transform(scale.transform(counts.transform(counted))).drop("_terms", "_tf", "_tfidf")
+        out_df = df.withColumn("_terms", ngrams(cfg.text, cfg.ngram, cfg.min_len))
+        for stage in self.stages:
+            out_df = stage.transform(out_df)
+        return out_df.withColumnRenamed("_unit", out).drop("_terms", "_tf", "_tfidf")
 
     def weights(self, df: DataFrame, *key: str) -> DataFrame:
         """Long form ``(key..., term, weight)``: one narrow pass and a lookup of the term names."""
