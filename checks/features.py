@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import duck_with, fixture, query, table
 from checks.impute import BLANK
-from gapfill.functions.text import is_blank, ngrams
+from gapfill.functions.text import ngrams, term_counts
 from gapfill.operators.chained import ChainedRidgeImputer
 from gapfill.operators.context import ContextEncoder
 from gapfill.operators.embed import SvdEmbed
@@ -42,8 +42,9 @@ def tfidf_sql(grams: str, n: str, max_features: int, name: str, min_df: int = 1)
     f"WITH {grams_sql('documents', 'doc_id', 'text')} SELECT k AS doc_id, term, count(*) AS n FROM grams GROUP BY ALL",
 )
 def ngrams_of(spark, sf):
-    terms = table(spark, sf, "documents").select("doc_id", F.explode(ngrams("text")).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    counted = docs.select("doc_id", F.explode(term_counts(ngrams("text"))).alias("t"))
+    return counted.select("doc_id", "t.term", F.col("t.tf").alias("n"))
 
 
 @query(
@@ -153,6 +154,3 @@ def nearest_text_of(spark, sf):
     corpus = vectors.withColumn("text", F.concat(F.lit("vector "), F.col("vec_id").cast("string")))
     return nearest_text(centres, corpus, "label", "vec_id").withColumn("score", F.round("score", 6))
 
-
-def observed_share(df):
-    return df.agg(F.avg((~is_blank("text")).cast("double")).alias("share"))
