@@ -76,5 +76,6 @@ def in_parallel(calls: Sequence[Callable[[], T]], threads: int = 4) -> list[T]:
     """Run independent driver-side steps (such as model fits) side by side, results in order."""
     if len(calls) < 2:
         return [call() for call in calls]
+    wrap = inheritable_thread_target(SparkSession.active())
     with ThreadPool(min(threads, len(calls))) as pool:
-        return pool.map(lambda call: call(), [inheritable_thread_target(c) for c in calls])
+        return pool.map(lambda call: call(), [wrap(c) for c in calls])
