@@ -53,9 +53,14 @@ def _masks(df: DataFrame, order: Column, key: str, rates: Sequence[float], size)
     return {r: within_cut(order, key, cuts[(0, size(r, n))]) for r in rates}
 
 
-def mcar_mask_columns(df: DataFrame, key: str, rates: Sequence[float] = RATES, seed: int = SEED) -> dict[float, Column]:
-    """Boolean mask expression per rate, all cut from one random order, so the masks nest."""
-    return _masks(df, uniform(key, seed), key, rates, mcar_size)
+def mcar_mask_columns(
+    df: DataFrame, key: str, rates: Sequence[float] = RATES, seed: int = SEED, order: Column | None = None
+) -> dict[float, Column]:
+    """Boolean mask expression per rate, all cut from one random order, so the masks nest.
+
+    ``order`` names a column of ``df`` that holds the order key already.
+    """
+    return _masks(df, uniform(key, seed) if order is None else order, key, rates, mcar_size)
 
 
 def mar_weight(
@@ -87,12 +92,16 @@ def mar_weights(df: DataFrame, out: str = "weight", **weights) -> DataFrame:
     return df.withColumn(out, mar_weight(df, **weights))
 
 
+def mar_order(df: DataFrame, key: str, seed: int = SEED, **weights) -> Column:
+    """Order key of sampling rows in proportion to their weight."""
+    return weighted_order_key(key, mar_weight(df, **weights), seed)
+
+
 def mar_mask_columns(
-    df: DataFrame, key: str, rates: Sequence[float] = RATES, seed: int = SEED, **weights
+    df: DataFrame, key: str, rates: Sequence[float] = RATES, seed: int = SEED, order: Column | None = None, **weights
 ) -> dict[float, Column]:
     """Like :func:`mcar_mask_columns`, with rows drawn in proportion to their weight."""
-    order = weighted_order_key(key, mar_weight(df, **weights), seed)
-    return _masks(df, order, key, rates, mar_size)
+    return _masks(df, mar_order(df, key, seed, **weights) if order is None else order, key, rates, mar_size)
 
 
 def weighted_sample(df: DataFrame, key: str, k: int, seed: int = SEED, **weights) -> DataFrame:
@@ -103,17 +112,19 @@ def weighted_sample(df: DataFrame, key: str, k: int, seed: int = SEED, **weights
 
 
 def _with_masks(df: DataFrame, masks: Mapping[float, Column]) -> DataFrame:
-    return df.withColumns({f"missing_{rate_tag_of(r)}": m for r, m in masks.items()})
+    return df.withColumns({f"missing_{rate_tag_of(r)}": m for r, m in masks.items()}).drop("_order")
 
 
 def mcar_masks(df: DataFrame, key: str, rates: Sequence[float] = RATES, seed: int = SEED) -> DataFrame:
     """``df`` with one mask column ``missing_<tag>`` per rate."""
-    return _with_masks(df, mcar_mask_columns(df, key, rates, seed))
+    ordered = df.withColumn("_order", uniform(key, seed))
+    return _with_masks(ordered, mcar_mask_columns(ordered, key, rates, seed, F.col("_order")))
 
 
 def mar_masks(df: DataFrame, key: str, rates: Sequence[float] = RATES, seed: int = SEED, **weights) -> DataFrame:
     """``df`` with one weighted mask column ``missing_<tag>`` per rate."""
-    return _with_masks(df, mar_mask_columns(df, key, rates, seed, **weights))
+    ordered = df.withColumn("_order", mar_order(df, key, seed, **weights))
+    return _with_masks(ordered, mar_mask_columns(ordered, key, rates, seed, F.col("_order")))
 
 
 def apply_mask(df: DataFrame, mask: Column, rate: float | Column, text: str = "text") -> DataFrame:

@@ -127,7 +127,7 @@ class KnnModel:
         """
         cfg = self.config
         donors = donor_rows(self.observed, cfg.key, self.encoder, cfg.k)
-        near = profile_donors(by_profile, donors, self.encoder, cfg.k, cfg.weights)
+        near = materialize(profile_donors(by_profile, donors, self.encoder, cfg.k, cfg.weights), "donors")
         vec = array_to_vector("embedding")
         means = (
             near.join(self.corpus.withColumnRenamed(cfg.key, "donor"), "donor")
@@ -153,8 +153,7 @@ def fill_by_profile(df: DataFrame, model) -> DataFrame:
     blank = df.filter(is_blank(text))
     by_profile = materialize(profiles(blank, key, model.encoder), "profiles")
     embedded = materialize(model.profile_embeddings(by_profile).select("profile", "embedding"), "profile-embeddings")
-    corpus = model.corpus.join(model.observed.select(_col(key), _col(text)), key)
-    fills = nearest_text(embedded, corpus, "profile", key, "embedding", text)
+    fills = nearest_text(embedded, model.corpus, "profile", key, "embedding", text, texts=model.observed)
     by_profile = by_profile.join(fills.select("profile", _col(text).alias("_fill")), "profile").drop("profile")
     filled = (
         match_profile(blank, by_profile, model.encoder)

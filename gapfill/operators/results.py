@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapfill.functions.text import _col
+from gapfill.operators.metrics import quantiles
 
 METRICS = ("macro_f1", "roc_auc", "dp_diff")
 
@@ -56,7 +57,6 @@ _STATS = {
     "mean": F.avg,
     "std": F.stddev_samp,
     "count": F.count,
-    "median": F.median,
     "min": F.min,
     "max": F.max,
 }
@@ -67,7 +67,12 @@ def group_stats(df: DataFrame, by: Sequence[str], values: Sequence[str], stats:
     keyed = df
     for c in by:
         keyed = keyed.filter(_col(c).isNotNull())
-    return keyed.groupBy(*by).agg(*[_STATS[s](v).alias(f"{v}_{s}") for v in values for s in stats])
+    plain = [_STATS[s](v).alias(f"{v}_{s}") for v in values for s in stats if s != "median"]
+    out = keyed.groupBy(*by).agg(*(plain or [F.count("*").alias("_n")])).drop("_n")
+    if "median" in stats:
+        for v in values:
+            out = out.join(quantiles(keyed, by, v, {f"{v}_median": 0.5}), list(by), "left")
+    return out.select(*by, *[f"{v}_{s}" for v in values for s in stats])
 
 
 def metric_by_rate(df: DataFrame, metric: str, imputers: Sequence[str], rate: str = "missing_rate", imputer: str = "imputer") -> DataFrame:
@@ -105,6 +110,4 @@ def metric_pairs(df: DataFrame, metric: str = "metric", test_metric: str = "test
 
 def metric_quantiles(df: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
     """Minimum, quartiles and maximum per group (the numbers of a box plot)."""
-    q = F.percentile(_col(metric), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    names = ("min", "q1", "median", "q3", "max")
-    return df.groupBy(*by).agg(q.alias("_q")).select(*by, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return quantiles(df, by, metric, {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0})
