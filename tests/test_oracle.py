@@ -7,7 +7,11 @@ import __spark_entry__ as entry
 from checks.compare import connect, normal_rows
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"screen_all", "run_batch", "sweep", "fit_regressor", "screen_fit"}
+# Covered by brute-force and unit tests on small tables.
+SLOW = {
+    "screen_all", "run_batch", "sweep", "fit_regressor", "screen_fit", "near_dup_gate", "prompt_impute", "knn_impute",
+    "iterative_text_impute", "svd_embed",
+}
 
 
 @pytest.fixture(scope="module")
