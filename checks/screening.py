@@ -141,10 +141,11 @@ def screen_all_of(spark, sf):
     return screen_all(filled_versions(spark, sf), "row_id")
 
 
-@query("save_results")
+@query("save_results", f"{duck_with('runs')} SELECT * FROM runs")
 def save_results_of(spark, sf):
-    path = save_results(fixture(spark, sf, "runs").drop("event_id"), scratch_path(spark, "saved"))
-    return spark.read.csv(path, header=True)
+    runs = fixture(spark, sf, "runs")
+    path = save_results(runs, scratch_path(spark, "saved"))
+    return spark.read.schema(runs.schema).csv(path, header=True)
 
 
 def parts_of(spark, sf):
@@ -179,7 +180,7 @@ def fit_regressor(spark, sf):
     return TextRegressor().fit(parts_of(spark, sf), "row_id").predictions
 
 
-@query("export_predictions")
+@query("export_predictions", f"{duck_with('ratings')} SELECT pred, label FROM ratings")
 def export_predictions_of(spark, sf):
     path = scratch_path(spark, "predictions")
     export_predictions(fixture(spark, sf, "ratings"), path)
