@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import types
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and characters of one piece of Python work; an Arrow batch with longer texts is cut into several.
+#: Rows that Python works on at once.
 BATCH_ROWS = 256
-BATCH_CHARS = 1 << 21
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,18 +42,27 @@ def put(df: DataFrame, **columns: Column) -> DataFrame:
     )
 
 
-def pieces(texts: Iterable[str | None], rows: int = BATCH_ROWS, chars: int = BATCH_CHARS) -> Iterable[list[str]]:
-    """Texts in order, in lists of bounded size; null becomes empty."""
-    out: list[str] = []
-    size = 0
-    for text in texts:
-        out.append(text or "")
-        size += len(out[-1])
-        if len(out) >= rows or size >= chars:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
+def map_slices(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
+    """``work`` over slices of rows: columns as lists in, columns as lists out, streamed by Arrow.
+
+    A slice has at most ``BATCH_ROWS`` rows, so what Python holds at once is bounded by the longest texts.
+    """
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(kind)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                rows = batch.slice(at, BATCH_ROWS)
+                got = work({n: rows.column(i).to_pylist() for i, n in enumerate(rows.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+
+    return df.mapInArrow(run, kind)
 
 
 def worker_cache(name: str) -> dict:

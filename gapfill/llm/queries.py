@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality_rules, url_filter
+from gapfill.session import materialize
+
+from . import decontam, packing, pii, quality_rules, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf, "documents").select("doc_id", "text"), keep_ids=False)
+    return packing.step_groups(materialize(packed, "packing"))
+
+
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of a URL: the quality of the document with the page's number; documents and pages have no other key."""
     pages = table(spark, sf, "pages").select("page_id", "url")
@@ -142,6 +153,8 @@ select page_id, host, path, rule, coalesce(given.verdict, m.verdict, 'allow') as
 from tok left join given using (row) left join best using (row)"""
 
 QUERIES: dict[str, Query] = {
+    "op3_pii": op3_pii,
+    "op4_packing": op4_packing,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontamination": op9_decontamination,

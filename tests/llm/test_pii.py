@@ -1,0 +1,93 @@
+"""Plain spans against the contract's patterns, hidden spans against planted disguises."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from gapfill.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    d = [int(c) for c in d][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * c, 10)) for c in d[1::2])) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for order, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            good = {
+                "email": lambda: True,
+                "ip": lambda m=m: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda d=digits: 12 <= len(d) <= 19 and luhn(d),
+                "phone": lambda d=digits: 9 <= len(d) <= 15,
+            }[kind]
+            if good():
+                out.append((m.start(), order, m.end()))
+    return sorted(out)
+
+
+def test_random_texts():
+    rng = random.Random(3)
+    for alphabet in ("a1@. ", "0123456789.- +()", "ab.@-_%+é", "4539 578763621486-+.", "1.2"):
+        for _ in range(3000):
+            text = "".join(rng.choices(alphabet, k=rng.randint(0, 40)))
+            assert pii.plain_spans(text) == brute(text), text
+    assert pii.plain_spans("4539578763621486 x") == [(0, 2, 16)]
+
+
+def test_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.digest(pii.find(docs)).collect():
+        plain = brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(pii.as_text(plain).encode()).hexdigest()
+        assert set(pii.as_text(plain).split(",")) <= set(r.spans.split(","))
+        assert r.n_email + r.n_ip + r.n_card + r.n_phone == len(plain)
+
+
+@pytest.mark.parametrize(
+    "hidden, kind",
+    [
+        ("john.doe [at] example [dot] com", "email"),
+        ("john.doe(at)example(dot)co(dot)uk", "email"),
+        ("jane at mail dot example dot org", "email"),
+        ("jаne@exаmple.com", "email"),  # Cyrillic a
+        ("ｊａｎｅ＠example．com", "email"),  # full width
+        ("１９２.168.０.1", "ip"),
+        ("one nine two dot one six eight dot zero dot one", "ip"),
+        ("plus one five five five one two three four five six", "phone"),
+        ("four five three nine five seven eight seven six three six two one four eight six", "card"),
+        ("4539​5787​6362​1486", "card"),
+        ("+٤٩ 30 1234567", "phone"),
+    ],
+)
+def test_disguises_map_back(hidden, kind):
+    text = f"Écrire à {hidden} ok."
+    spans = pii.hidden_spans(text, pii.plain_spans(text))
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in spans if pii.KINDS[k] == kind] == [(kind, hidden)]
+
+
+@pytest.mark.parametrize("text", ["meet me at example.com", "one two three", "the dot at the end", "élan – c’est ça, at at dot dot", "one one one one"])
+def test_clean_texts_stay(text):
+    assert pii.hidden_spans(text, pii.plain_spans(text)) == []
+
+
+def test_odd_rows(spark):
+    rows = [(None, None), (1, ""), (1, "a@b.cd"), (1, "a@b.cd"), (2, "1" * 200_000), (3, "a" * 200_000 + "@"), (4, "." * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' as spans")
+    got = pii.find(docs).collect()
+    assert sorted(r.n_email for r in got) == [0, 0, 0, 0, 0, 1, 1]
+    assert pii.find(docs.limit(0)).count() == 0
+    clean = pii.redact(docs).collect()
+    assert [r.text for r in clean if r.doc_id == 1] == ["", "[email]", "[email]"] and clean[0].spans == "z"
