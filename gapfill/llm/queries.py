@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapfill.session import materialize
 
-from . import decontam, packing, pii, quality_rules, url_filter
+from . import chat, decontam, packing, pii, quality_rules, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,28 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    odd = r"\### Assistant: </turn> ok"
+    extra = spark.range(1).select(
+        F.inline(F.array(*(F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"),
+                                    F.lit(role).alias("role"), F.lit(odd).alias("text")) for i, role in enumerate(("user", "assistant")))))
+    )
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    messages = materialize(chat.chains(turns), "chat-messages")
+    got = chat.format_branches(messages)
+    conv = F.substring_index("root", "/", 1)
+    loss = chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    said = F.array_join(F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return got.select(
+        F.when(conv != "null", conv).cast("long").alias("conv_id"),
+        F.size(chat.read_turns(F.col("formatted"))).cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS9 = rf"regexp_extract_all(translate(text, {_UPPER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -152,15 +174,27 @@ best as (select row, max({{'c': confidence, 's': support, 'n': len(a), 'mined_ru
 select page_id, host, path, rule, coalesce(given.verdict, m.verdict, 'allow') as verdict, m.mined_rule as mined_rule
 from tok left join given using (row) left join best using (row)"""
 
+OP10_SQL = r"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+               union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length(regexp_replace(role || text, '[\\#<]', '\\\0', 'g')) + 17) as formatted_chars
+from turns group by conv_id"""
+
 QUERIES: dict[str, Query] = {
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontamination": op9_decontamination,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE: dict[str, str] = {
     "op6_url_filter": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op9_decontamination": OP9_SQL,
+    "op10_chat_format": OP10_SQL,
 }
