@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from gapfill.session import materialize
 
-# The template: ``### role ###`` newline, text, ``</turn>`` newline. Every backslash, ``#`` and ``<`` of a role or text
-# gets a backslash before it, so no control string can occur inside one.
+# The template: ``### role ###`` newline, text, ``</turn>`` newline. In roles and texts every backslash becomes ``\\b``, every
+# ``#`` becomes ``\\h`` and every ``<`` becomes ``\\l``; so no control string, nor part of one, occurs inside them.
 TURN_END = "</turn>\n"
-ESCAPED = r"([\\#<])"
+ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, ESCAPED, r"\\$1")
+    for plain, written in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\#<])", "$1")
+    for plain, written in reversed(ESCAPES):
+        text = F.replace(text, F.lit(written), F.lit(plain))
+    return text
 
 
 def _head(role: Column) -> Column:
