@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from gapfill.session import materialize
 
-from . import chat, decontam, packing, pii, quality_rules, url_filter
+from . import chat, decontam, packing, pii, quality_model, quality_rules, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+
+
 def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf, "documents").select("doc_id", "text")))
 
@@ -185,6 +189,7 @@ select conv_id, count(*) as n_turns,
 from turns group by conv_id"""
 
 QUERIES: dict[str, Query] = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op6_url_filter": op6_url_filter,
