@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapfill.session import materialize
 
-from . import chat, decontam, packing, pii, quality_model, quality_rules, url_filter
+from . import chat, decontam, packing, pii, quality_model, quality_rules, site_tree, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return got.drop("char_distance", "word_distance")
 
 
+def op8_site_style_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     got = decontam.contamination(docs, table(spark, sf, "benchmark").select("item_id", "text"))
@@ -194,6 +198,7 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op8_site_style_tree": op8_site_style_tree,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
