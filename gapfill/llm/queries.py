@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 from gapfill.session import materialize
 
-from . import chat, decontam, packing, pii, quality_model, quality_rules, site_tree, url_filter
+from . import chat, decontam, line_dedup, packing, pii, quality_model, quality_rules, site_tree, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    got = line_dedup.find(table(spark, sf, "documents").select("doc_id", "text"))
+    return got.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.concat_ws(",", F.transform("removed", lambda i: i.cast("string"))).alias("removed_lines"),
+    )
+
+
 def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
 
@@ -192,7 +202,34 @@ select conv_id, count(*) as n_turns,
        sum(length(regexp_replace(role || text, '[\\#<]', '\\\0', 'g')) + 17) as formatted_chars
 from turns group by conv_id"""
 
+_LONG, _LEAST = line_dedup.LONG_WORDS, line_dedup.MIN_WORDS
+_FAMILIES = ", ".join(f"({i}, {f})" for i, f in enumerate(line_dedup.FAMILIES))
+
+OP1_SQL = f"""
+with docs as (select doc_id, row_number() over () as row, md5(text) as key, text from documents),
+cut as (select row, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i
+        from docs where text <> ''),
+lines as (select *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as words,
+                 cast('0x' || substr(md5(line), 1, 8) as bigint) as h from cut),
+fam(f, factor) as (values {_FAMILIES}),
+roll as (select f, row, i, line, words,
+                ((coalesce(lag(h) over w, 0)::hugeint * factor + h) % {line_dedup.MODULUS} % {line_dedup.DIVISOR} = 0)
+                or words >= {_LONG} or coalesce(lead(words) over w, 0) >= {_LONG} as ends
+         from lines, fam window w as (partition by f, row order by i)),
+numbered as (select *, coalesce(sum(cast(ends as int)) over (partition by f, row order by i rows between unbounded preceding and 1 preceding), 0) as c
+             from roll),
+chunk as (select f, row, c, min(i) as start, count(*) as n, sum(words) as words, string_agg(line, chr(10) order by i) as chunk
+          from numbered group by f, row, c),
+counted as (select * from chunk where words >= {_LONG} or (n > 1 and words >= {_LEAST})),
+ranked as (select c.row, start, n, dense_rank() over (partition by f, chunk order by doc_id nulls last, key, start) as place
+           from counted c join docs using (row)),
+gone as (select distinct row, unnest(range(start, start + n)) as i from ranked where place > 1)
+select doc_id, case when coalesce(text, '') = '' then 0 else len(string_split(text, chr(10))) end as n_lines,
+       coalesce(n, 0) as n_removed, coalesce(removed, '') as removed_lines
+from docs left join (select row, count(*) as n, string_agg(cast(i as varchar), ',' order by i) as removed from gone group by row) using (row)"""
+
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
@@ -203,6 +240,7 @@ QUERIES: dict[str, Query] = {
     "op10_chat_format": op10_chat_format,
 }
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
     "op6_url_filter": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op9_decontamination": OP9_SQL,
