@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapfill.session import materialize
 
-from . import chat, decontam, line_dedup, packing, pii, quality_model, quality_rules, site_tree, url_filter
+from . import chat, decontam, line_dedup, near_dedup, packing, pii, quality_model, quality_rules, site_tree, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.step_groups(materialize(packed, "packing"))
 
 
+def op5_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of a URL: the quality of the document with the page's number; documents and pages have no other key."""
     pages = table(spark, sf, "pages").select("page_id", "url")
@@ -233,6 +237,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op8_site_style_tree": op8_site_style_tree,
