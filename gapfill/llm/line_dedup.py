@@ -120,10 +120,10 @@ def dedup(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     With ``drop_emptied``, documents that lose all they had go; those that were null or empty before stay as they are.
     """
     _, found = repeats(docs)
-    key, lost = fresh(docs, "text_key"), fresh(docs, "lines_lost")
-    gone = _lines_of(found).withColumnsRenamed({"doc_id": "d__", "key": "k__", "removed": lost})
+    key, lost, lost_id, lost_key = (fresh(docs, c) for c in ("text_key", "lines_lost", "lost_id", "lost_key"))
+    gone = _lines_of(found).withColumnsRenamed({"doc_id": lost_id, "key": lost_key, "removed": lost})
     keyed = docs.withColumn(key, text_key(F.col("text")))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["d__"]) & (keyed[key] == gone["k__"]), "left")
+    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone[lost_id]) & (keyed[key] == gone[lost_key]), "left")
 
     def rest(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))

@@ -1,0 +1,75 @@
+"""Line deduplication against a plain pass over the documents in order."""
+
+import random
+
+from gapfill.llm import line_dedup
+
+
+def brute(rows):
+    """Lines each row loses: chunks of each family, kept at their first place in (id, text hash, line) order."""
+    import hashlib
+
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest())
+    seen, lost = {}, {}
+    for row in sorted({r for r in rows if r[1]}, key=key):
+        lines = row[1].split("\n")
+        gone = set()
+        for start, n, family, _ in line_dedup.chunks(row[1]):
+            chunk = (family, "\n".join(lines[start : start + n]))
+            if seen.setdefault(chunk, (row, start)) != (row, start):
+                gone |= set(range(start, start + n))
+        lost[row] = sorted(gone)
+    return lost
+
+
+def texts():
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "é", "ß"]
+    line = lambda n: " ".join(rng.choices(words, k=n)) + str(rng.random())
+    shared = ["\n".join(line(rng.choice([3, 8, 20, 60])) for _ in range(rng.randint(1, 6))) for _ in range(15)]
+    rows = []
+    for i in range(150):
+        parts = [line(rng.randint(1, 70)) for _ in range(rng.randint(1, 5))] + rng.sample(shared, rng.randint(0, 3))
+        rng.shuffle(parts)
+        rows.append((i, "\n".join(parts)))
+    rows += [(200 + i, rows[i][1]) for i in range(10)] + [(3, rows[7][1]), (None, rows[9][1]), (None, "a\n" * 50)]
+    return rows
+
+
+def test_against_brute_force(spark):
+    rows = texts()
+    want = brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = line_dedup.find(docs).collect()
+    assert len(got) == len(rows)
+    name = lambda d: -1 if d is None else d
+    assert sorted((name(r.doc_id), r.n_lines, tuple(r.removed)) for r in got) == sorted(
+        (name(d), t.count("\n") + 1, tuple(want[d, t])) for d, t in rows
+    )
+    kept = line_dedup.dedup(docs, drop_emptied=False).collect()
+    expect = sorted("\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(want[d, t])) for d, t in rows)
+    assert sorted(r.text for r in kept) == expect
+
+
+def test_long_passage_between_other_lines_is_found(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"head {i}\n{passage}\ntail {i}") for i in range(40)] + [(99, "clean line of its own\nand another one")]
+    got = {r.doc_id: r.removed for r in line_dedup.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == [] and got[99] == [] and all(got[i] == [1] for i in range(1, 40))
+
+
+def test_shift_resistant():
+    lines = [f"line number {i} of the passage with some words" for i in range(40)]
+    a, b = ("\n".join(x) for x in (lines, ["inserted"] + lines))
+    of = lambda t, shift: {(s - shift, n, f) for s, n, f, _ in line_dedup.chunks(t)}
+    assert len(of(a, 0) & of(b, 1)) >= len(of(a, 0)) - 4
+
+
+def test_odd_rows(spark):
+    rows = [(None, None), (1, ""), (2, "x"), (2, "x"), (3, " \n \n"), (4, "word " * 200_000), (5, "word " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'e' as key", "7 as removed", "'q' as start")
+    found = sorted((r.doc_id or 0, len(r.removed)) for r in line_dedup.find(docs).collect())
+    assert found == [(0, 0), (1, 0), (2, 0), (2, 0), (3, 0), (4, 0), (5, 1)]
+    kept = line_dedup.dedup(docs)
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 2, 3, 4] and kept.columns == docs.columns
+    assert line_dedup.find(docs.limit(0)).count() == 0
