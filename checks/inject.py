@@ -16,6 +16,8 @@ from gapfill.operators.inject import (
 )
 from gapfill.operators.profile import inspect_mechanism, version_stats
 from gapfill.plans.versions import injection_grid
+from gapfill.session import scratch_path
+from gapfill.sources.catalogue import read_versions, write_versions
 
 MAR = {
     "thresholds": {"toxicity_human": 4.0, "intent": 4.0, "absent": 1.0},
@@ -148,3 +150,20 @@ def inspect_mechanism_of(spark, sf):
         F.round("missing_rate", 6).alias("missing_rate_actual"),
         *[F.round(c, 6).alias(c) for c in ratios],
     )
+
+
+_RATES = {0.05: "05", 0.15: "15", 0.3: "30", 1.0: "100"}
+_READ_SQL = " UNION ALL ".join(
+    f"SELECT row_id, '{name}' AS mechanism, '{tag}' AS missing_rate, CASE WHEN {within(str(rate))} THEN NULL ELSE text END AS text "
+    "FROM ordered JOIN doc_base USING (row_id)"
+    for name, within in (("mcar", _mcar), ("mar", _mar))
+    for rate, tag in _RATES.items()
+)
+
+
+@query("read_versions", f"{duck_with('doc_base')}, {ORDERS_SQL} {_READ_SQL}")
+def read_versions_of(spark, sf):
+    """Versions of both mechanisms, complete loss included, written as folders and read back."""
+    versions = injection_grid(fixture(spark, sf, "doc_base"), "row_id", rates=tuple(_RATES), **MAR)
+    path = write_versions(versions, scratch_path(spark, "versions"))
+    return read_versions(spark, path).select("row_id", "mechanism", "missing_rate", "text")

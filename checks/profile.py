@@ -113,7 +113,7 @@ _CATALOGUE_SQL = """p AS (
         SELECT *, concat_ws('|', split, mechanism, imputer, missing_rate) AS experiment_id FROM catalogue""",
 )
 def parse_catalogue_of(spark, sf):
-    return parse_catalogue(fixture(spark, sf, "names"))
+    return parse_catalogue(fixture(spark, sf, "names"), root="data")
 
 
 @query(

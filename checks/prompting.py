@@ -105,8 +105,8 @@ _EXAMPLES = f"""{_CORPUS},
   firsts AS (SELECT m, min(row_id) AS row_id FROM complete GROUP BY m),
   scored AS (SELECT qn.k AS profile, cw.k AS first_id, round(sum(qn.w * cw.w), 9) AS score FROM qn
      JOIN cw USING (term) JOIN firsts ON firsts.row_id = cw.k GROUP BY ALL),
-  rows_ AS (SELECT profile, c.row_id AS example_key, score FROM scored JOIN firsts f ON f.row_id = first_id
-     JOIN complete c ON c.m = f.m),
+  rows_ AS (SELECT a.row_id AS profile, c.row_id AS example_key, coalesce(score, 0) AS score FROM asked a CROSS JOIN complete c
+     JOIN firsts f ON f.m = c.m LEFT JOIN scored s ON s.profile = a.row_id AND s.first_id = f.row_id),
   picked AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, example_key) AS rank FROM rows_
      QUALIFY rank <= 5),
   examples AS (SELECT meta.row_id, rank, example_key, score FROM meta JOIN asked ON asked.m = meta.m
@@ -124,25 +124,25 @@ def topk_examples_of(spark, sf):
 
 
 _T = PromptTemplate(hints=HINTS)
-_HINT_TEXT = "Field hints:\n- target_group: language of the text\n- intent: rating from 1 to 5"
+_HINT_TEXT = f"{_T.hint_title}\n- target_group: language of the text\n- intent: rating from 1 to 5"
 
 
 def _lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-@query(
-    "build_prompts",
-    f"""{duck_with('doc_holes')}, {_EXAMPLES},
+_PROMPTS = f"""{duck_with('doc_holes')}, {_EXAMPLES},
       blocks AS (SELECT e.row_id, string_agg('Example ' || rank || chr(10) || 'Input: ' || {_PAYLOAD_SQL.format(text='CAST(NULL AS VARCHAR)')}
          || chr(10) || 'Output: ' || to_json({{text: text}}), chr(10) || chr(10) ORDER BY rank) AS shown
-         FROM examples e JOIN complete c ON c.row_id = e.example_key GROUP BY e.row_id)
-      SELECT meta.row_id, {_lit(_T.intro)} || chr(10) || chr(10) || {_lit(_HINT_TEXT)} || chr(10) || chr(10) || shown
-         || chr(10) || chr(10) || 'Sample to fill' || chr(10) || 'Input: ' || {_PAYLOAD_SQL.format(text='CAST(NULL AS VARCHAR)')}
+         FROM examples e JOIN complete c ON c.row_id = e.example_key GROUP BY e.row_id),
+      prompts AS (SELECT meta.row_id, {_lit(_T.intro)} || chr(10) || chr(10) || {_lit(_HINT_TEXT)} || chr(10) || chr(10) || shown
+         || chr(10) || chr(10) || {_lit(_T.target_title)} || chr(10) || 'Input: ' || {_PAYLOAD_SQL.format(text='CAST(NULL AS VARCHAR)')}
          || chr(10) || {_GUIDANCE} || chr(10) || {_lit(_T.answer_format)} || chr(10) || chr(10) || {_lit(_T.guidelines)} AS prompt,
          {_SEVERITY} AS level
-      FROM meta JOIN blocks USING (row_id)""",
-)
+      FROM meta JOIN blocks USING (row_id))"""
+
+
+@query("build_prompts", f"{_PROMPTS} SELECT * FROM prompts")
 def build_prompts_of(spark, sf):
     imputer = PromptImputer(stub_provider, "row_id", template=_T)
     return imputer.prompts(fixture(spark, sf, "doc_holes"))
@@ -207,8 +207,7 @@ def exact_dup_of(spark, sf):
 
 @query("near_dup_gate")
 def near_dup_of(spark, sf):
-    docs = table(spark, sf, "documents").filter(valid_completion("text"))  # the length gate runs first
-    return near_dup_gate(docs, "doc_id")
+    return near_dup_gate(table(spark, sf, "documents"), "doc_id")
 
 
 def stub_provider(requests):
@@ -230,18 +229,35 @@ def stub_provider(requests):
     return out
 
 
-@query("complete_stub")
-def complete_stub(spark, sf):
-    prompts = fixture(spark, sf, "doc_holes").select("row_id", F.col("target_group").alias("prompt"))
+_STUB_WORDS = "['river', 'stone', 'amber', 'window', 'garden', 'silver', 'letter', 'valley', 'copper', 'meadow']"
+_BYTE = "CAST('0x' || substr(digest, 2 * {i} - 1, 2) AS INT)"
+_STUB_TEXT = f"array_to_string(list_transform(range(1, 17), lambda i: {_STUB_WORDS}[{_BYTE.format(i='i')} % 10 + 1]), ' ')"
+_STUB = f"""{_PROMPTS}, requests AS (SELECT row_id, 1 AS attempt, prompt, md5(row_id || ':1') AS digest FROM prompts),
+  answered AS (SELECT row_id, attempt, prompt, CASE {_BYTE.format(i='1')} % 4
+      WHEN 0 THEN '{{{{"text": "' || {_STUB_TEXT} || '"}}}}' WHEN 1 THEN 'Sure: {{{{"text": "' || {_STUB_TEXT} || '"}}}}'
+      WHEN 2 THEN {_STUB_TEXT} ELSE 'unknown' END AS completion FROM requests)""".replace("{{", "{").replace("}}", "}")
+
+
+def answered(spark, sf):
+    """The built prompts of all rows without a text, answered by the stub."""
+    imputer = PromptImputer(stub_provider, "row_id", template=_T)
+    prompts = materialize(imputer.prompts(fixture(spark, sf, "doc_holes")), "prompts")
     return complete(prompts, stub_provider, "row_id")
 
 
-@query("interaction_log")
+@query("complete_stub", f"{_STUB} SELECT * FROM answered")
+def complete_stub(spark, sf):
+    return answered(spark, sf)
+
+
+@query(
+    "interaction_log",
+    f"""{_STUB} SELECT CAST(row_id AS VARCHAR) AS row_index, attempt, prompt, completion FROM answered
+        ORDER BY CAST(row_id AS VARCHAR) LIMIT 5""",
+)
 def interaction_log(spark, sf):
-    prompts = fixture(spark, sf, "doc_holes").select("row_id", F.col("target_group").alias("prompt"))
-    done = materialize(complete(prompts, stub_provider, "row_id"), "answers")
     path = scratch_path(spark, "log")
-    write_log(done.withColumn("row_index", F.col("row_id").cast("string")), path)
+    write_log(answered(spark, sf).withColumn("row_index", F.col("row_id").cast("string")), path)
     return read_log(spark, path, 5)
 
 

@@ -16,6 +16,7 @@ from gapfill.operators.regress import RegressConfig, TextRegressor, best_run, re
 from gapfill.operators.split import stratified_split
 from gapfill.plans.screening import run_batch, screen_all
 from gapfill.plans.versions import impute_grid
+from gapfill.sources.catalogue import discover_datasets, load_catalogue, write_versions
 from gapfill.session import materialize, scratch_path
 from gapfill.sources.results import export_predictions, save_results
 
@@ -129,8 +130,8 @@ def screen_metrics_of(spark, sf):
 
 
 def filled_versions(spark, sf):
-    """Both simple imputers over one mechanism at all rates."""
-    versions = materialize(grid(spark, sf).filter(F.col("mechanism") == "mcar"), "versions")
+    """Both simple imputers over both mechanisms at all rates."""
+    versions = materialize(grid(spark, sf), "versions")
     imputers = {"simple_placeholder": ConstantImputer(), "simple_most_frequent": ModeImputer()}
     filled = impute_grid(versions, imputers, "row_id")
     return materialize(filled.withColumn("split", F.lit("train")), "filled")
@@ -220,9 +221,34 @@ def best_run_of(spark, sf):
 
 @query("run_batch")
 def run_batch_of(spark, sf):
-    filled = filled_versions(spark, sf).filter(F.col("missing_rate") == "30")
+    """Both imputers, mechanisms and all rates as datasets of their own."""
+    filled = filled_versions(spark, sf)
+    names = filled.select("imputer", "mechanism", "missing_rate").distinct().collect()
     versions = {
-        name: filled.filter(F.col("imputer") == name) for name in ("simple_placeholder", "simple_most_frequent")
+        f"{r.imputer}_{r.mechanism}_{r.missing_rate}": filled.filter(
+            (F.col("imputer") == r.imputer) & (F.col("mechanism") == r.mechanism) & (F.col("missing_rate") == r.missing_rate)
+        )
+        for r in names
     }
-    return run_batch(versions, "row_id", fixture(spark, sf, "doc_base"), RegressConfig(reg=(0.1,)))
+    return run_batch(versions, "row_id", fixture(spark, sf, "doc_base"), RegressConfig())
 
+
+@query(
+    "screen_catalogue_inputs",
+    """WITH n AS (SELECT count(*) AS n FROM documents)
+        SELECT unnest(['train|original|baseline|00', 'train|mar|simple_placeholder|30', 'train|mcar|llm|05', 'train|mcar|knn|100',
+                       'train|mcar|knn|15']) AS experiment_id, n AS num_rows, CAST(5 AS BIGINT) AS num_cols FROM n""",
+)
+def screen_catalogue_inputs(spark, sf):
+    """Datasets of every layout, written by Spark, discovered, loaded and counted."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    root = scratch_path(spark, "catalogue")
+    for name in ("train.parquet", "other/train.parquet", "imputed/train_text_imputed_mar_simple_placeholder_30.parquet",
+                 "imputed_llm/train_text_imputed_mcar_05.parquet", "imputed/notes.parquet"):
+        docs.write.parquet(f"{root}/{name}")
+    tags = docs.withColumns({"mechanism": F.lit("mcar"), "imputer": F.lit("knn")})
+    both = tags.withColumn("missing_rate", F.lit("15")).unionByName(tags.withColumn("missing_rate", F.lit("100")))
+    write_versions(both, f"{root}/versions")
+    loaded = load_catalogue(spark, discover_datasets(spark, root))
+    width = len([c for c in loaded.columns if c in docs.columns])
+    return loaded.groupBy("experiment_id").agg(F.count("*").alias("num_rows"), F.lit(width).cast("long").alias("num_cols"))

@@ -48,13 +48,14 @@ def smallest_k_cuts(
 ) -> tuple[dict[tuple[Any, int], Cut], dict[Any, int]]:
     """Cuts of the ``k`` smallest rows by ``(order, key)``, per stratum and k.
 
-    ``sizes`` maps the row count of every stratum to the wanted k values.
+    ``sizes`` maps the row count of every stratum to the wanted k values. Rows with a null key are never selected.
+    Strata are class labels here; :func:`gapfill.operators.split.stratified_split` takes any number of them.
     """
     base = df.select(
         (stratum if stratum is not None else F.lit(0)).alias("_s"),
         order.cast("double").alias("_o"),
         _col(key).alias("_k"),
-    )
+    ).filter(F.col("_k").isNotNull())
     stats = base.groupBy("_s").agg(F.count("*").alias("n"), F.min("_o").alias("lo"), F.max("_o").alias("hi"))
     rows = stats.limit(MAX_STRATA + 1).collect()
     if len(rows) > MAX_STRATA:
@@ -152,6 +153,13 @@ def _narrow(base: DataFrame, big) -> list[_Search]:
     return narrowed
 
 
+def require_unique(df: DataFrame, key: str) -> None:
+    """Raise ValueError where a row key repeats: masks and fills are joined by it."""
+    twice = df.groupBy(_col(key).alias("_k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_k").limit(1).collect()
+    if twice:
+        raise ValueError(f"row key is not unique: {twice[0]['_k']!r}")
+
+
 def within_cut(order: Column, key: Column | str, cut: Cut) -> Column:
     """The selection as a filter."""
     if cut.order is None:

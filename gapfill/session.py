@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
@@ -12,6 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
+_WRITTEN: list[str] = []  # paths of intermediate tables, in order
 
 
 def build_session(app: str = "gapfill", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,18 +37,41 @@ def build_session(app: str = "gapfill", master: str | None = None, **conf: str)
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only where nothing is configured (tests on one machine) a temporary folder is set.
+    Only on one machine (master ``local``), where nothing is configured, a temporary folder is set; it goes when
+    Python ends. Elsewhere executors would not see each other's files, so a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="gapfill-")
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        folder = tempfile.TemporaryDirectory(prefix="gapfill-")
+        atexit.register(folder.cleanup)
+        root = folder.name
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that were written inside, once the plan's result is stored elsewhere."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        paths = _WRITTEN[before:]
+        del _WRITTEN[before:]
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below :func:`scratch_root`."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -117,3 +117,18 @@ def test_stratified_split(spark):
     df = spark.range(100).select(F.col("id").alias("k"), F.when(F.col("id") < 90, 0).otherwise(1).alias("c"))
     pdf = stratified_split(df, "k", "c", 0.2).toPandas()
     assert pdf[pdf.is_test].groupby("c").size().to_dict() == {0: 18, 1: 2}
+
+
+def test_any_number_of_strata(spark, monkeypatch):
+    from gapfill.operators import split
+
+    df = spark.range(6_000).select(F.col("id").alias("k"), F.when(F.col("id") % 5 == 0, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 1_500)).alias("c"))
+    plain = {r["k"]: r["is_test"] for r in split.stratified_split(df, "k", "c", 0.2).collect()}
+    assert len(plain) == 6_000 and sum(plain.values()) == 1_200
+    by = {}
+    for r in df.collect():
+        by.setdefault(r["c"], []).append(plain[r["k"]])
+    sizes = allot({c: len(v) for c, v in by.items()}, 0.2)
+    assert {c: sum(v) for c, v in by.items()} == sizes
+    monkeypatch.setattr(split, "WINDOW_ROWS", 100)  # the large stratum goes by its histogram
+    assert {r["k"]: r["is_test"] for r in split.stratified_split(df, "k", "c", 0.2).collect()} == plain

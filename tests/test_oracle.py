@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from checks import fixtures
 from checks.compare import connect, normal_rows
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in fixtures.QUERIES if n not in SLOW])
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF)
     pdf = pd.DataFrame([r.asDict() for r in got.collect()], columns=got.columns)

@@ -1,12 +1,13 @@
 import json
+import os
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from gapfill.plans.versions import injection_grid
-from gapfill.session import gather, in_parallel, materialize, scratch_root
-from gapfill.sources.catalogue import discover_datasets, filter_results, parse_catalogue, read_versions, write_versions
+from gapfill.session import gather, in_parallel, materialize, scratch, scratch_root
+from gapfill.sources.catalogue import discover_datasets, filter_results, load_catalogue, parse_catalogue, read_versions, write_versions
 from gapfill.sources.results import (
     alias_metrics,
     expand_metrics,
@@ -17,6 +18,7 @@ from gapfill.sources.results import (
     save_results,
     union_runs,
     write_log,
+    write_run_summary,
 )
 from gapfill.sources.splits import export_splits, load_split, preview
 
@@ -64,12 +66,54 @@ def test_catalogue(spark, tmp_path):
     got = [r["experiment_id"] for r in discover_datasets(spark, str(tmp_path / "d")).collect()]
     assert got == ["train|original|baseline|00", "train|mar|simple_most_frequent|05", "train|mcar|llm|30"]
     cat = parse_catalogue(spark.createDataFrame([("a/train.parquet",), ("train.parquet",)], "path string"))
-    assert cat.count() == 2
+    assert [r["path"] for r in cat.collect()] == ["train.parquet"]
     assert filter_results(cat, imputers=["BASELINE"], limit=1).count() == 1
     with pytest.raises(ValueError):
         filter_results(cat, rates=["5"], require=True)
 
 
+def test_datasets_that_spark_writes(spark, tmp_path):
+    root = str(tmp_path / "root")
+    for name in ("train.parquet", "r/other/train.parquet", "imputed/train_text_imputed_mar_knn_05.parquet"):
+        small(spark).write.parquet(f"{root}/{name}")
+    write_versions(injection_grid(small(spark, 10), "row_id", rates=(0.1, 1.0)), f"{root}/grid")
+    cat = discover_datasets(spark, root)
+    want = ["train|original|baseline|00", "train|mar|knn|05", "train|mar|none|10", "train|mar|none|100", "train|mcar|none|10", "train|mcar|none|100"]
+    assert sorted(r["experiment_id"] for r in cat.collect()) == sorted(want)
+    rows = {r["experiment_id"]: r["count"] for r in load_catalogue(spark, cat).groupBy("experiment_id").count().collect()}
+    assert rows == {w: 10 if "none" in w else 5 for w in want}
+
+
+def test_complete_loss_round_trips(spark, tmp_path):
+    write_versions(injection_grid(small(spark, 20), "row_id", ("mcar",), rates=(0.1, 1.0)), str(tmp_path / "v"))
+    back = read_versions(spark, str(tmp_path / "v")).groupBy("missing_rate").count().collect()
+    assert {r["missing_rate"]: r["count"] for r in back} == {"10": 20, "100": 20}
+
+
+def test_repeated_keys_are_refused(spark):
+    with pytest.raises(ValueError, match="unique"):
+        injection_grid(small(spark).unionAll(small(spark)), "row_id")
+
+
+def test_metrics_of_odd_files(spark, tmp_path):
+    texts = {"mixed.json": '[{"dataset": "a", "exit_code": 0, "metrics": {"eval_rmse": "n/a", "test_rmse": 0.2}}]', "bad.json": "{oops",
+             "flat.json": '{"eval_rmse": 1.5, "epoch": 3}', "one.json": '{"dataset": "b", "metrics": null}'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    rows = {n: [(r["dataset"], dict(r["metrics"])) for r in read_run_summary(spark, str(tmp_path / n)).collect()] for n in texts}
+    assert rows == {"mixed.json": [("a", {"test_rmse": 0.2})], "bad.json": [], "flat.json": [(None, {"eval_rmse": 1.5, "epoch": 3.0})], "one.json": [("b", {})]}
+    runs = spark.createDataFrame([("x", "o", 0, {"m": 1.0}, None), ("y", None, 1, {}, "failed")], "dataset string, output_dir string, exit_code int, metrics map<string,double>, error string")
+    back = read_run_summary(spark, write_run_summary(runs, str(tmp_path / "summary.json"))).collect()
+    assert [(r["dataset"], r["output_dir"], r["exit_code"], dict(r["metrics"])) for r in back] == [("x", "o", 0, {"m": 1.0}), ("y", None, 1, {})]
+
+
+def test_scratch_is_deleted(spark):
+    with scratch(spark):
+        path = materialize(small(spark), "gone").inputFiles()[0]
+        assert os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def result_rows(spark):
     return spark.createDataFrame(
         [("e", "train", "mar", "knn", "05", 0.5, None, 0.1)],
