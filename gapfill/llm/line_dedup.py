@@ -11,8 +11,10 @@ from gapfill.session import materialize
 
 from .common import fresh, let, map_slices, put, text_key
 
-#: Factors of the rolling hashes; each makes its own chunks of a text, so a passage that one cuts badly another finds.
-FAMILIES = (1_000_003, 7_368_787)
+#: Factors of the rolling hashes, and whether long lines stand alone; each makes its own chunks of a text, so a passage
+#: that one cuts badly another finds. A third family has the whole text as its one chunk, which finds copies at once.
+FAMILIES = ((1_000_003, True), (7_368_787, False))
+WHOLE = len(FAMILIES)
 MODULUS = 2_147_483_647
 #: One line in so many ends a chunk.
 DIVISOR = 2
@@ -26,28 +28,33 @@ def line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.md5(line).digest()[:4], "big")
 
 
-def chunks(text: str, families: tuple[int, ...] = FAMILIES) -> list[tuple[int, int, int, int]]:
+def chunks(text: str, families: tuple[tuple[int, bool], ...] = FAMILIES) -> list[tuple[int, int, int, int]]:
     """``(first line, lines, family, 64-bit hash)`` of the chunks that count.
 
-    A chunk ends after a line whose rolling hash with the line before it is a multiple of ``DIVISOR``, and around long
-    lines: what ends a chunk is in the lines themselves, so inserted lines only change the chunks next to them.
+    A chunk ends after a line whose rolling hash with the line before it is a multiple of ``DIVISOR``, and in one family
+    around long lines: what ends a chunk is in the lines themselves, so inserted lines only change the chunks next to them.
     """
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
     words = [len(line.split()) for line in lines]
     hashes = [line_hash(line) for line in lines]
     out = []
-    for f, factor in enumerate(families):
+
+    def put(start: int, stop: int, family: int) -> None:
+        n = sum(words[start:stop])
+        if n >= LONG_WORDS or (stop - start > 1 and n >= MIN_WORDS):
+            digest = hashlib.md5(b"\n".join(lines[start:stop]), usedforsecurity=False).digest()
+            out.append((start, stop - start, family, int.from_bytes(digest[:8], "big", signed=True) ^ family))
+
+    for f, (factor, alone) in enumerate(families):
         start, before = 0, 0
         for i, h in enumerate(hashes):
             last = i + 1 == len(lines)
             ends = (before * factor + h) % MODULUS % DIVISOR == 0
             before = h
-            if last or ends or words[i] >= LONG_WORDS or words[i + 1] >= LONG_WORDS:
-                n = sum(words[start : i + 1])
-                if n >= LONG_WORDS or (i > start and n >= MIN_WORDS):
-                    digest = hashlib.md5(b"\n".join(lines[start : i + 1]), usedforsecurity=False).digest()
-                    out.append((start, i + 1 - start, f, int.from_bytes(digest[:8], "big", signed=True) ^ f))
+            if last or ends or alone and (words[i] >= LONG_WORDS or words[i + 1] >= LONG_WORDS):
+                put(start, i + 1, f)
                 start = i + 1
+    put(0, len(lines), len(families))
     return out
 
 

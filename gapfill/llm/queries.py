@@ -207,7 +207,7 @@ select conv_id, count(*) as n_turns,
 from turns group by conv_id"""
 
 _LONG, _LEAST = line_dedup.LONG_WORDS, line_dedup.MIN_WORDS
-_FAMILIES = ", ".join(f"({i}, {f})" for i, f in enumerate(line_dedup.FAMILIES))
+_FAMILIES = ", ".join(f"({i}, {f}, {alone})" for i, (f, alone) in enumerate(line_dedup.FAMILIES))
 
 OP1_SQL = f"""
 with docs as (select doc_id, row_number() over () as row, md5(text) as key, text from documents),
@@ -215,10 +215,11 @@ cut as (select row, unnest(string_split(text, chr(10))) as line, generate_subscr
         from docs where text <> ''),
 lines as (select *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as words,
                  cast('0x' || substr(md5(line), 1, 8) as bigint) as h from cut),
-fam(f, factor) as (values {_FAMILIES}),
+fam(f, factor, alone) as (values {_FAMILIES}, ({line_dedup.WHOLE}, 0, false)),
 roll as (select f, row, i, line, words,
-                ((coalesce(lag(h) over w, 0)::hugeint * factor + h) % {line_dedup.MODULUS} % {line_dedup.DIVISOR} = 0)
-                or words >= {_LONG} or coalesce(lead(words) over w, 0) >= {_LONG} as ends
+                f < {line_dedup.WHOLE} and (
+                  (coalesce(lag(h) over w, 0)::hugeint * factor + h) % {line_dedup.MODULUS} % {line_dedup.DIVISOR} = 0
+                  or alone and (words >= {_LONG} or coalesce(lead(words) over w, 0) >= {_LONG})) as ends
          from lines, fam window w as (partition by f, row order by i)),
 numbered as (select *, coalesce(sum(cast(ends as int)) over (partition by f, row order by i rows between unbounded preceding and 1 preceding), 0) as c
              from roll),
