@@ -24,6 +24,8 @@ STEP_TOKENS = 1 << 17
 #: Tokens that a task holds before it closes windows.
 HELD_TOKENS = 1 << 22
 CACHED_WORDS = 400_000
+#: Counts per task and tier that are sent to every executor (40 bytes each); more are joined by shuffle.
+MAX_BROADCAST_COUNTS = 1_000_000
 
 
 class WordIds(dict):
@@ -274,6 +276,8 @@ def step_groups(packed: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
         F.sum("n").over(tier).alias("all"),
     )
     steps = F.ceil(F.col("all") * F.col("tier") / step_tokens)
+    if sizes.limit(MAX_BROADCAST_COUNTS + 1).count() <= MAX_BROADCAST_COUNTS:
+        sizes = F.broadcast(sizes)
     joined = packed.join(sizes, (task == sizes["task"]) & (packed["tier"] == sizes["of_tier"]))
     group = F.floor((F.col("before") + F.col("tier_rank")) * steps / F.col("all"))
     columns = [packed[c] for c in packed.columns if c != "tier_rank"]
