@@ -55,6 +55,7 @@ def ancestors(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         at = at.join(jump, "at", "left").select(
             "node", F.coalesce("up", "at").alias("at"), (F.col("depth") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("depth")
         )
+        at = materialize(at, "reply-place")
     return jumps, at.select("node", F.col("at").alias("root"), "depth")
 
 
@@ -81,6 +82,7 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     on = chosen.select("root", F.col("node").alias("leaf"), "rank", "node")
     for jump in reversed(jumps):
         on = on.unionByName(on.join(jump, "node").select("root", "leaf", "rank", F.col("up").alias("node"))).distinct()
+        on = materialize(on, "reply-branch")  # else every step would double the plan
     return on.join(place.select("node", "depth"), "node")
 
 
