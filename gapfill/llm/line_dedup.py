@@ -1,4 +1,4 @@
-"""Line deduplication: content-defined chunks of lines, of which every repeat but the first goes."""
+"""Line deduplication: chunks of lines whose ends lie in the lines themselves, of which every repeat but the first goes."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from gapfill.session import materialize
 
 from .common import fresh, let, map_slices, put, text_key
 
-#: Factors of the rolling hashes, and whether long lines stand alone; each makes its own chunks of a text, so a passage
-#: that one cuts badly another finds. A third family has the whole text as its one chunk, which finds copies at once.
+#: For chunks side by side: factors of the rolling hashes, and whether long lines stand alone; each makes its own chunks
+#: of a text, so a passage that one cuts badly another may find. A last family has the whole text as its one chunk, which
+#: finds copies at once.
 FAMILIES = ((1_000_003, True), (7_368_787, False))
 WHOLE = len(FAMILIES)
 MODULUS = 2_147_483_647
@@ -28,11 +29,38 @@ def line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.md5(line).digest()[:4], "big")
 
 
-def chunks(text: str, families: tuple[tuple[int, bool], ...] = FAMILIES) -> list[tuple[int, int, int, int]]:
-    """``(first line, lines, family, 64-bit hash)`` of the chunks that count.
+def windows(words: list[int]) -> list[tuple[int, int]]:
+    """``(first line, lines)`` of the least chunks of a text with so many words in its lines, in order.
 
-    A chunk ends after a line whose rolling hash with the line before it is a multiple of ``DIVISOR``, and in one family
-    around long lines: what ends a chunk is in the lines themselves, so inserted lines only change the chunks next to them.
+    From each line with words on, the shortest stretch of two such lines and ``MIN_WORDS``, and the shortest that ends at
+    it; a line of ``MIN_WORDS`` with a blank one next to it; a line of ``LONG_WORDS`` alone. What lies around a passage
+    has no say in its windows, and they cover it: a line behind the shortest stretch from the passage's first line ends
+    a stretch that is no longer than the passage. So a repeated passage goes whole, but for blank lines at its ends.
+    """
+    worded = [i for i, n in enumerate(words) if n]
+    out = set()
+    for at, i in enumerate(worded):
+        for step in (1, -1):
+            n, to = words[i], at + step
+            while 0 <= to < len(worded):
+                n += words[worded[to]]
+                if n >= MIN_WORDS:
+                    out.add((min(i, worded[to]), abs(i - worded[to]) + 1))
+                    break
+                to += step
+        if words[i] >= LONG_WORDS:
+            out.add((i, 1))
+        if words[i] >= MIN_WORDS:
+            out.update((min(i, j), 2) for j in (i - 1, i + 1) if 0 <= j < len(words) and not words[j])
+    return sorted(out)
+
+
+def chunks(text: str, families: tuple[tuple[int, bool], ...] | None = None) -> list[tuple[int, int, int, int]]:
+    """``(first line, lines, family, 64-bit hash)`` of the chunks that count: the text's windows and the whole text.
+
+    With ``families``, chunks side by side instead of the windows: one ends after a line whose rolling hash with the line
+    before it is a multiple of ``DIVISOR``, and in some families around long lines. Inserted lines only change the chunks
+    next to them, but a passage's first and last lines often share a chunk with lines around it, and then stay.
     """
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
     words = [len(line.split()) for line in lines]
@@ -45,7 +73,10 @@ def chunks(text: str, families: tuple[tuple[int, bool], ...] = FAMILIES) -> list
             digest = hashlib.md5(b"\n".join(lines[start:stop]), usedforsecurity=False).digest()
             out.append((start, stop - start, family, int.from_bytes(digest[:8], "big", signed=True) ^ family))
 
-    for f, (factor, alone) in enumerate(families):
+    if families is None:
+        for start, n in windows(words):
+            put(start, start + n, 0)
+    for f, (factor, alone) in enumerate(families or ()):
         start, before = 0, 0
         for i, h in enumerate(hashes):
             last = i + 1 == len(lines)
@@ -54,7 +85,7 @@ def chunks(text: str, families: tuple[tuple[int, bool], ...] = FAMILIES) -> list
             if last or ends or alone and (words[i] >= LONG_WORDS or words[i + 1] >= LONG_WORDS):
                 put(start, i + 1, f)
                 start = i + 1
-    put(0, len(lines), len(families))
+    put(0, len(lines), WHOLE)
     return out
 
 
@@ -62,13 +93,13 @@ def _id_kind(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-def _chunk_rows(docs: DataFrame) -> DataFrame:
+def _chunk_rows(docs: DataFrame, families: tuple[tuple[int, bool], ...] | None) -> DataFrame:
     """``doc_id, key`` (of the text), ``start, n, h``: a row per chunk that counts, and one of ``n = 0`` per document."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {c: [] for c in ("doc_id", "key", "start", "n", "h")}
         for doc, key, text in zip(rows["doc_id"], rows["key"], rows["text"], strict=True):
-            for start, n, _, h in (*(chunks(text) if text else ()), (text.count("\n") + 1 if text else 0, 0, 0, 0)):
+            for start, n, _, h in (*(chunks(text, families) if text else ()), (text.count("\n") + 1 if text else 0, 0, 0, 0)):
                 for c, v in zip(out, (doc, key, start, n, h), strict=True):
                     out[c].append(v)
         return out
@@ -77,14 +108,14 @@ def _chunk_rows(docs: DataFrame) -> DataFrame:
     return map_slices(keyed, f"doc_id {_id_kind(docs)}, key binary, start int, n int, h long", work)
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, families: tuple[tuple[int, bool], ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """All chunk rows, and those that repeat an earlier chunk byte for byte (``doc_id, key, start, n``).
 
     The order is that of ``doc_id`` (null last), text and line. Hashes find the groups by sums that are formed before
     the shuffle; only documents with a chunk of such a group are then cut again, and each chunk's bytes are compared
     with the first one's. No step gathers a group: its members meet the one kept chunk in a join.
     """
-    rows = materialize(_chunk_rows(docs), "line-chunks")
+    rows = materialize(_chunk_rows(docs, families), "line-chunks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "start")
     groups = rows.filter("n > 0").groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     member = rows.filter("n > 0").join(groups.select("h", "first"), "h")
@@ -108,13 +139,14 @@ def _lines_of(found: DataFrame) -> DataFrame:
     return spans.select("doc_id", "key", F.array_sort(F.array_distinct(lines)).alias("removed"))
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, families: tuple[tuple[int, bool], ...] | None = None) -> DataFrame:
     """``doc_id, n_lines, removed`` (indices of lines, sorted) of every row of ``docs`` (``doc_id, text``).
 
     Null and empty texts have no line (0) and lose none. Rows that repeat both id and text are alike: each keeps what one
     of them keeps. Repeated texts under other ids lose all their chunks. An empty table gives an empty result.
+    ``families`` is that of :func:`chunks`; without it every repeated run of two lines and ``MIN_WORDS`` goes whole.
     """
-    rows, found = repeats(docs)
+    rows, found = repeats(docs, families)
     lost = _lines_of(found).withColumnsRenamed({"doc_id": "d", "key": "k"})
     each = rows.filter("n = 0").select("doc_id", "key", F.col("start").alias("n_lines"))
     joined = each.join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")

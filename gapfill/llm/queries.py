@@ -16,7 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    got = line_dedup.find(table(spark, sf, "documents").select("doc_id", "text"))
+    """Chunks side by side, as the SQL has them, not the windows that :func:`line_dedup.find` uses by itself."""
+    got = line_dedup.find(table(spark, sf, "documents").select("doc_id", "text"), line_dedup.FAMILIES)
     return got.select(
         "doc_id",
         F.col("n_lines").cast("long").alias("n_lines"),

@@ -73,3 +73,45 @@ def test_odd_rows(spark):
     kept = line_dedup.dedup(docs)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 2, 3, 4] and kept.columns == docs.columns
     assert line_dedup.find(docs.limit(0)).count() == 0
+
+
+def equal_runs(rows):
+    """Lines with words that lie in a run of two such lines and ten words, or of 50 words, that stood before."""
+    lost, before = {}, []
+    for doc, text in rows:
+        lines, gone = text.split("\n"), set()
+        for other in [*before, lines]:
+            for i in range(len(lines)):
+                for j in range(i if other is lines else len(other)):
+                    k = 0
+                    while i + k < len(lines) and j + k < len(other) and lines[i + k] == other[j + k]:
+                        k += 1
+                    run = [x.split() for x in lines[i : i + k]]
+                    words = sum(map(len, run))
+                    if words >= 50 or words >= 10 and k > 1:
+                        gone |= {i + n for n, x in enumerate(run) if x}
+        before.append(lines)
+        lost[doc] = gone
+    return lost
+
+
+def test_shared_runs_of_lines_go_whole(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shapes = [(2, 30), (3, 20), (5, 12), (10, 6), (30, 2), (60, 1), (10, 30), (2, 5), (4, 3)]
+    shared = [[line(n) for _ in range(k)] for k, n in shapes] + [[line(8), "", "", "", line(45), " ", line(2)], [line(14), "", line(60), "", line(3)]]
+    rows = []
+    for i in range(60):
+        text = [line(rng.randint(1, 30)) for _ in range(2)]
+        for p in rng.sample(shared, 3):
+            a, b = sorted(rng.sample(range(len(p) + 1), 2)) if rng.random() < 0.3 else (0, len(p))
+            text += [*p[a:b], line(rng.randint(1, 30))]
+        rows.append((i, "\n".join(text)))
+    want = equal_runs(rows)
+    lines = dict((d, t.split("\n")) for d, t in rows)
+    for r in line_dedup.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        assert {i for i in r.removed if lines[r.doc_id][i].strip()} == want[r.doc_id], r.doc_id
+
+
+def test_many_blank_lines_are_linear():
+    assert len(line_dedup.chunks("ten words " * 10 + "\n" * 100_000 + "ten words " * 10)) < 10
