@@ -41,6 +41,8 @@ APART_WORDS = frozenset(
     "pager pagination popup promo promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription tags toolbar topbar widget widgets alert alerts contentinfo complementary reactions recommended".split()
 )
+#: Inside an article the tree does not judge these and what they hold: they are what it says, even if pages repeat it.
+OWN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 #: Opening one of these ends an open paragraph; opening a key ends an open element of its values.
 ENDS_P = BLOCK - {"br", "button", "body", "html", "option", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 ENDS = {
@@ -75,10 +77,10 @@ def _style(attributes: str) -> tuple[str, bool]:
 class Node:
     """An open element: its path in the style tree, and hashes of what it holds so far."""
 
-    __slots__ = ("apart", "kids", "main", "path", "tag", "words")
+    __slots__ = ("apart", "block", "judged", "kids", "main", "path", "tag", "words")
 
-    def __init__(self, tag: str, path: int, apart: bool, main: bool):
-        self.tag, self.path, self.apart, self.main = tag, path, apart, main
+    def __init__(self, tag: str, path: int, apart: bool, main: bool, block: int, judged: bool):
+        self.tag, self.path, self.apart, self.main, self.block, self.judged = tag, path, apart, main, block, judged
         self.kids: list[int] = []
         self.words: list[int] = []
 
@@ -87,16 +89,18 @@ def _hash(*parts: object) -> int:
     return xxhash.xxh64_intdigest(repr(parts)) >> 1
 
 
-def walk(page: str, drop: frozenset[int] = frozenset()) -> tuple[list[tuple[bool, str]], list[tuple[int, int, int]]]:
-    """Blocks of a page's text, each with whether it lies in an article, and its branches that may be boilerplate.
+def walk(page: str, drop: frozenset[int] = frozenset()) -> tuple[list[tuple[bool, int, str]], list[tuple[int, int, int]]]:
+    """Blocks of a page's text, each with whether it lies in an article and the path of its element (0 for the body), and
+    the branches that the tree judges.
 
-    A branch is ``(path, hash of its child order, hash of its text)``. Branches named as boilerplate by their element or
+    A branch is ``(path, hash of its child order, hash of its text)``. Inside an article these are its block elements
+    without the article's own paragraphs and headings. Branches named as boilerplate by their element or
     style, and those whose path is in ``drop``, give neither. Works like a browser on unclosed and stray tags.
     """
-    blocks: list[tuple[bool, str]] = []
+    blocks: list[tuple[bool, int, str]] = []
     branches: list[tuple[int, int, int]] = []
     text: list[str] = []
-    root = Node("", 0, False, False)
+    root = Node("", 0, False, False, 0, True)
     open_: list[Node] = [root]
 
     count: Counter[str] = Counter()
@@ -106,7 +110,7 @@ def walk(page: str, drop: frozenset[int] = frozenset()) -> tuple[list[tuple[bool
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                blocks.append((open_[-1].main, line))
+                blocks.append((open_[-1].main, open_[-1].block, line))
                 open_[-1].words.append(_hash(line))
 
     def close() -> None:
@@ -117,7 +121,7 @@ def walk(page: str, drop: frozenset[int] = frozenset()) -> tuple[list[tuple[bool
         count[node.tag] -= 1
         if not node.apart:
             words = _hash(node.words)
-            if not node.main and node.words:
+            if node.words and (not node.main or node.judged and node.tag in BLOCK and node.tag not in ("article", "main")):
                 branches.append((node.path, _hash(node.kids), words))
             if node.words:
                 open_[-1].words.append(words)
@@ -179,7 +183,8 @@ def walk(page: str, drop: frozenset[int] = frozenset()) -> tuple[list[tuple[bool
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
-        open_.append(Node(tag, path, apart, main))
+        block = over.block if tag not in BLOCK else 0 if tag in ("html", "body") else path
+        open_.append(Node(tag, path, apart, main, block, over.judged and not (main and tag in OWN)))
         count[tag] += 1
     while len(open_) > 1:
         close()
@@ -187,17 +192,18 @@ def walk(page: str, drop: frozenset[int] = frozenset()) -> tuple[list[tuple[bool
     return blocks, branches
 
 
-def main_text(page: str, drop: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, or all that are left where the page marks no article."""
+def main_text(page: str, drop: frozenset[int] = frozenset(), keep: frozenset[int] = frozenset()) -> str:
+    """The article's blocks and those of paths in ``keep``, or all that are left where the page marks no article."""
     blocks, _ = walk(page, drop)
-    inside = [line for main, line in blocks if main]
-    return " ".join(inside or [line for _, line in blocks])
+    if any(main for main, _, _ in blocks):
+        blocks = [b for b in blocks if b[0] or b[1] in keep]
+    return " ".join(line for _, _, line in blocks)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """The merged trees of all sites: ``host, path, pages, on_pages, importance`` (0: the same everywhere, 1: all differ).
 
-    Every page gives each of its branches outside an article once. Counts per branch and content are summed before they
+    Every page gives each of its branches that :func:`walk` has once. Counts per branch and content are summed before they
     are shuffled, so a host with most of the pages costs no task more than others. Copies of a page count once.
     """
 
@@ -229,10 +235,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def noise(tree: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """``host, drop``: the paths that go. Each is on ``min_share`` of its site's pages, so a list is as long as
-    1 / ``min_share`` pages have branches at most."""
-    low = (F.col("pages") >= min_pages) & (F.col("on_pages") >= min_share * F.col("pages")) & (F.col("importance") < min_importance)
-    return tree.filter(low).groupBy("host").agg(F.collect_set("path").alias("drop"))
+    """``host, drop, keep``: the paths that go, and the important ones. Each is on ``min_share`` of its site's pages, so
+    both lists are as long as 1 / ``min_share`` pages have branches at most."""
+    common = tree.filter((F.col("pages") >= min_pages) & (F.col("on_pages") >= min_share * F.col("pages")))
+    low = F.col("importance") < min_importance
+    paths = {"drop": F.when(low, F.col("path")), "keep": F.when(~low, F.col("path"))}
+    return common.groupBy("host").agg(*(F.collect_set(c).alias(n) for n, c in paths.items()))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -240,7 +248,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Branches whose importance in their site's tree is low go, and so do parts that their element or style names as
     menu, header, footer, sidebar, notice, advert, form or comments. An article (``article``, ``main``) is main text by its
-    name: only such named parts of it go, so what many pages share stays in it. Null or empty html gives empty text; a
+    name: its paragraphs and headings stay even if many pages share them, unless a part around them goes. Beside an article,
+    blocks stay whose own branch the tree finds important; a site with fewer than ``MIN_PAGES`` pages has no such
+    evidence, nor has text right in the body. Null or empty html gives empty text; a
     null url or one without a host belongs to no site. Repeated rows are extracted each.
     """
     hosted = pages.select("page_id", "url", "html", parse(F.col("url"))["host"].alias("host"))
@@ -249,7 +259,7 @@ def extract(pages: DataFrame) -> DataFrame:
     id_kind = pages.schema["page_id"].dataType.simpleString()
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        texts = [main_text(h or "", frozenset(d or ())) for h, d in zip(rows["html"], rows["drop"], strict=True)]
+        texts = [main_text(h or "", frozenset(d or ()), frozenset(k or ())) for h, d, k in zip(rows["html"], rows["drop"], rows["keep"], strict=True)]
         return {"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": list(map(len, texts))}
 
-    return map_slices(joined.select("page_id", "url", "html", "drop"), f"page_id {id_kind}, url string, text string, n_chars long", work)
+    return map_slices(joined.select("page_id", "url", "html", "drop", "keep"), f"page_id {id_kind}, url string, text string, n_chars long", work)

@@ -84,3 +84,16 @@ def test_nested_and_long_pages_are_linear():
     assert st.main_text('<a href="' * 30_000)
     assert len(st.main_text("<p>word " * 50_000)) == 250_000 - 1
     assert st.main_text("<b></i>" * 30_000 + "x") == "x"
+
+
+def test_tree_judges_inside_and_beside_articles(spark):
+    def whole(i):
+        return f"<main><div class='upper'><p>Our motto</p></div><div class='inner'><p>Story {i} <b>as told</b>.</p></div><p>Same end</p></main>"
+
+    def cards(i):
+        return f"<div class='upper'>Our motto</div><div class='inner'><p>Story {i} in full.</p></div><article class='card'><h2>Other {i % 3}</h2></article>"
+
+    rows = [(i, "http://whole.com/", whole(i)) for i in range(20)] + [(100 + i, "http://cards.com/", cards(i)) for i in range(20)]
+    rows += [(200, "http://small.com/", cards(0))]
+    got = {r.page_id: r.text for r in st.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert got[3] == "Story 3 as told. Same end" and got[104] == "Story 4 in full. Other 1" and got[200] == "Other 0"
