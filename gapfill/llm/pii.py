@@ -36,16 +36,22 @@ SPELLED = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
 _NAME = "|".join(SPELLED)
-#: A disguised number: four spelled digits or more; words for plus and dot may stand between them.
-SPELLED_RUN = re.compile(rf"\b(?:plus[\s,-]+)?(?:(?:{_NAME})(?:[\s,-]+(?:dot|point))?[\s,-]+){{3,}}(?:{_NAME})\b", re.I)
-SPELLED_WORD = re.compile(rf"{_NAME}|plus|dot|point", re.I)
-SPELLED_HINT = re.compile(rf"\b(?:{_NAME})[\s,-]+(?:{_NAME}|dot|point)\b", re.I)
+#: Parts of a disguised number, and what may stand between two of them.
+NUMBER_PART = re.compile(rf"\b(?:({_NAME})|(plus)|(dot|point)|([0-9]{{1,40}}))\b|(\+)", re.I)
+NUMBER_GAP = re.compile(r"[\s,().-]{0,8}")
+#: A number counts from so many digits on, spelled or not, if it has a spelled part.
+MIN_DIGITS = 4
+SPELLED_HINT = re.compile(rf"\b(?:{_NAME})[\s,().-]{{1,8}}(?:{_NAME}|dot|point|[0-9])|(?:[0-9+]|\bplus)[\s,().-]{{1,8}}(?:{_NAME}|dot|point|plus)\b|\bplus\s+[0-9]", re.I)
 #: ``[at]``, ``(dot)`` and the like, with the blanks around them.
 BRACKETED = re.compile(r"\s{0,8}[\[({<]\s{0,8}(at|dot|@|\.)\s{0,8}[\])}>]\s{0,8}", re.I)
 BRACKET_HINT = re.compile(r"[\[({<]\s{0,8}(?:at|dot|@|\.)\s{0,8}[\])}>]", re.I)
-#: Bare words count only as a whole address: name at host dot ending.
-BARE = re.compile(r"[A-Za-z0-9._%+-]{1,64}(\s+at\s+)[A-Za-z0-9-]{1,63}(?:\s+dot\s+[A-Za-z0-9-]{1,63})+\b", re.I)
-BARE_DOT = re.compile(r"\s+dot\s+", re.I)
+#: A whole address, its at and dots each plain, bracketed or a bare word; a bare at needs a dot that is not plain.
+_OPEN, _CLOSE = r"\s{0,8}[\[({<]\s{0,8}", r"\s{0,8}[\])}>]\s{0,8}"
+_DOT = rf"(?:\.|{_OPEN}(?:dot|\.){_CLOSE}|\s{{1,8}}dot\s{{1,8}})"
+ADDRESS_AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}|\s{{1,8}}(?:at|@)\s{{1,8}}|@", re.I)
+ADDRESS_HOST = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})+", re.I)
+ADDRESS_DOT = re.compile(_DOT, re.I)
+BARE_DOT = re.compile(r"\sdot\s", re.I)
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -132,27 +138,48 @@ def undo_look_alikes(tape: Tape) -> None:
 def undo_spelling(tape: Tape) -> None:
     if not SPELLED_HINT.search(tape.text):
         return
+    runs: list[list[re.Match]] = []
+    for part in NUMBER_PART.finditer(tape.text):
+        last = runs[-1][-1].end() if runs else 0
+        joins = runs and not (part[2] or part[5]) and part.start() - last <= 8 and NUMBER_GAP.fullmatch(tape.text, last, part.start())
+        if joins:
+            runs[-1].append(part)
+        else:
+            runs.append([part])
     edits = []
-    for run in SPELLED_RUN.finditer(tape.text):
-        done = run.start()
-        for word in SPELLED_WORD.finditer(tape.text, run.start(), run.end()):
-            if word.start() > done:
-                edits.append((done, word.start(), ""))
-            w = word[0].lower()
-            edits.append((word.start(), word.end(), SPELLED.get(w, "+" if w == "plus" else ".")))
-            done = word.end()
+    for run in runs:
+        while run and run[0][3]:
+            run.pop(0)
+        while run and run[-1][3]:
+            run.pop()
+        if all(p[4] or p[5] for p in run) or sum(bool(p[1]) + len(p[4] or "") for p in run) < MIN_DIGITS:
+            continue
+        for before, part in zip((None, *run), run, strict=False):
+            if before and before.end() < part.start() and not (before[4] and part[4]):
+                gap = tape.text[before.end() : part.start()]
+                # two numbers of which one is spelled may be two groups of digits
+                put = "" if before[3] or part[3] or before[2] or before[5] or before[1] and part[1] else " "
+                edits.append((before.end(), part.start(), "." if gap == "." else put))
+            if not (part[4] or part[5]):
+                edits.append((*part.span(), SPELLED.get(part[0].lower(), "+" if part[2] else ".")))
     tape.rewrite(edits)
 
 
 def undo_at_and_dot(tape: Tape) -> None:
+    if BARE_DOT.search(tape.text) or BRACKET_HINT.search(tape.text):
+        edits, done = [], 0
+        for at in ADDRESS_AT.finditer(tape.text):
+            host = ADDRESS_HOST.match(tape.text, at.end())
+            if at.start() < done or not host or not at.start() or tape.text[at.start() - 1] not in EMAIL_LOCAL:
+                continue
+            dots = [d for d in ADDRESS_DOT.finditer(tape.text, *host.span()) if d[0] != "."]
+            if at[0].strip().lower() in ("at", "@") and at[0] != "@" and not dots:
+                continue
+            edits += [(*at.span(), "@"), *((*d.span(), ".") for d in dots)]
+            done = host.end()
+        tape.rewrite([e for e in edits if tape.text[e[0] : e[1]] != e[2]])
     if BRACKET_HINT.search(tape.text):
         tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in BRACKETED.finditer(tape.text)])
-    if BARE_DOT.search(tape.text):
-        edits = []
-        for m in BARE.finditer(tape.text):
-            edits.append((*m.span(1), "@"))
-            edits += [(*d.span(), ".") for d in BARE_DOT.finditer(tape.text, m.end(1), m.end())]
-        tape.rewrite(edits)
 
 
 def hidden_spans(text: str, plain: list[Span]) -> list[Span]:
@@ -163,10 +190,19 @@ def hidden_spans(text: str, plain: list[Span]) -> list[Span]:
     if tape.text is text:
         return []
     out = []
+    # spans of a kind are disjoint and in order, so of those before only the last can touch a span
+    known = [[(s, e) for s, k, e in plain if k == kind] for kind in range(len(KINDS))]
+    next_, done = [0] * len(KINDS), [0] * len(KINDS)
     for a, kind, b in plain_spans(tape.text):
         start, end = tape.start[a], max(tape.end[a:b])
-        if text[start:end] != tape.text[a:b] and not any(k == kind and s < end and start < e for s, k, e in (*plain, *out)):
+        if text[start:end] == tape.text[a:b]:
+            continue
+        while next_[kind] < len(known[kind]) and known[kind][next_[kind]][1] <= start:
+            next_[kind] += 1
+        touches = next_[kind] < len(known[kind]) and known[kind][next_[kind]][0] < end
+        if not touches and start >= done[kind]:
             out.append((start, kind, end))
+            done[kind] = end
     return out
 
 

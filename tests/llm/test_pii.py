@@ -91,3 +91,37 @@ def test_odd_rows(spark):
     assert pii.find(docs.limit(0)).count() == 0
     clean = pii.redact(docs).collect()
     assert [r.text for r in clean if r.doc_id == 1] == ["", "[email]", "[email]"] and clean[0].spans == "z"
+
+
+@pytest.mark.parametrize(
+    "hidden, kind",
+    [
+        ("john (at) example dot com", "email"),
+        ("john at example [dot] com", "email"),
+        ("john@example dot com", "email"),
+        ("john [at] example.co dot uk", "email"),
+        ("john at mail.example(dot)co dot uk", "email"),
+        ("192 dot 168 dot 0 dot 12", "ip"),
+        ("192 dot one six eight.0 point 12", "ip"),
+        ("+1 five five five 123 4567", "phone"),
+        ("+1 (five five five) 123-4567", "phone"),
+        ("plus 49 30 one two three 4567", "phone"),
+        ("+49 30 one two three 4567", "phone"),
+        ("4539 five seven eight seven 6362 1486", "card"),
+    ],
+)
+def test_mixed_disguises_map_back(hidden, kind):
+    for text in (f"Écrire à {hidden} ok.", f"room five, dot at {hidden}"):
+        spans = pii.hidden_spans(text, pii.plain_spans(text))
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b in spans] == [(kind, hidden)]
+
+
+@pytest.mark.parametrize("text", ["at 5 dot com", "be there at 10.30 dot", "1 2 3 one", "look at a.b and the dot on it", "+1 one two three"])
+def test_clean_mixtures_stay(text):
+    assert pii.hidden_spans(text, pii.plain_spans(text)) == []
+
+
+@pytest.mark.parametrize("piece", ["one ", "1 dot ", "a dot ", "a at ", "+", "(at) ", "1 ", " ", "dot.", "a@a."])
+def test_long_runs_are_linear(piece):
+    text = "a at a dot a one two " + piece * 100_000
+    pii.hidden_spans(text, pii.plain_spans(text))
