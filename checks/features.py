@@ -126,7 +126,7 @@ def knn_impute(spark, sf):
 @query("iterative_text_impute")
 def iterative_text_impute(spark, sf):
     df = fixture(spark, sf, "doc_holes")
-    model = IterativeTextImputer("row_id", "text", CONTEXT, svd=16).fit(df)
+    model = IterativeTextImputer("row_id", "text", CONTEXT).fit(df)
     return model.transform(df).select("row_id", "text", "was_filled")
 
 

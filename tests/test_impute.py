@@ -167,3 +167,15 @@ def test_chained_ridge_against_row_level_loop(spark):
     out = ChainedRidgeImputer(["a", "b", "c", "d"]).fit(df).transform(df).orderBy("k").toPandas()
     got = out[[f"{c}_filled" for c in "abcd"]].to_numpy()
     np.testing.assert_allclose(got, sequential_ridge(x, 10), rtol=1e-5, atol=1e-6)
+
+
+def test_iterative_query_runs_at_the_default_size(monkeypatch):
+    from checks import features
+
+    made = []
+    monkeypatch.setattr(features, "fixture", lambda *_: None)
+    monkeypatch.setattr(IterativeTextImputer, "fit", lambda self, df: made.append(self.svd) or self)
+    monkeypatch.setattr(IterativeTextImputer, "transform", lambda self, df: self, raising=False)
+    monkeypatch.setattr(IterativeTextImputer, "select", lambda self, *_: None, raising=False)
+    features.iterative_text_impute(None, "")
+    assert made == [256]
