@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapfill.session import materialize
 
-from . import chat, decontam, line_dedup, near_dedup, packing, pii, quality_model, quality_rules, site_tree, url_filter
+from . import chat, decontam, line_dedup, near_dedup, packing, pii, quality_model, quality_rules, site_tree, url_filter, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,10 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS9 = rf"regexp_extract_all(translate(text, {_UPPER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -245,6 +249,7 @@ QUERIES: dict[str, Query] = {
     "op8_site_style_tree": op8_site_style_tree,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op13_whitening": op13_whitening,
 }
 ORACLE: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
