@@ -9,7 +9,21 @@ from pyspark.sql import functions as F
 
 from gapfill.session import materialize
 
-from . import chat, decontam, line_dedup, near_dedup, packing, pii, quality_model, quality_rules, site_tree, url_filter, whitening
+from . import (
+    alignment,
+    chat,
+    decontam,
+    interpolation,
+    line_dedup,
+    near_dedup,
+    packing,
+    pii,
+    quality_model,
+    quality_rules,
+    site_tree,
+    url_filter,
+    whitening,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +108,14 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.link_statistics(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op12_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return interpolation.score(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
@@ -249,6 +271,8 @@ QUERIES: dict[str, Query] = {
     "op8_site_style_tree": op8_site_style_tree,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_lm_score": op12_lm_score,
     "op13_whitening": op13_whitening,
 }
 ORACLE: dict[str, str] = {
