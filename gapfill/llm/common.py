@@ -65,6 +65,19 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dic
     return df.mapInArrow(run, kind)
 
 
+def by_bytes(batch, column: int, most: int):
+    """Slices of an Arrow batch whose strings in ``column`` come to about ``most`` bytes; a longer one is alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, done = 0, 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(start, stop - start)
+        start, done = stop, int(ends[stop - 1])
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, across the tasks it runs."""
     import sys

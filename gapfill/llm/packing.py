@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BATCH_ROWS, worker_cache
+from .common import by_bytes, worker_cache
 
 MAX_TOKENS = 2048
 #: Context sizes; every one is a power of two, so a full window needs no padding.
@@ -23,59 +22,89 @@ VOCABULARY = "word_bpe_49k.json"
 STEP_TOKENS = 1 << 17
 #: Tokens that a task holds before it closes windows.
 HELD_TOKENS = 1 << 22
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+#: Text that is tokenized at once.
+SLICE_BYTES = 4 << 20
 #: Counts per task and tier that are sent to every executor (40 bytes each); more are joined by shuffle.
 MAX_BROADCAST_COUNTS = 1_000_000
 
 
-class WordIds(dict):
-    """Ids (as little-endian bytes) of what stands between blanks, learned from the tokenizer as words come up.
+class WordIds:
+    """Ids of what stands between blanks, learned from the tokenizer as words come up.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words. Words
     of plain Latin letters go to the vocabulary's merges directly; anything else goes to the whole tokenizer.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!|#*$%&;:?]*)\Z")
+    PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]{1,1000})(?P<tail>[.,!|#*$%&;:?]*)$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.core: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.core: dict[str, bytes] = {"": b""}
+        self.other: dict[str, bytes] = {"": b""}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         #: The letter by which a byte-level vocabulary writes each byte.
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def _merged(self, word: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize("".join(self.letters[b] for b in word.encode()))
-        return array("I", [t.id for t in tokens]).tobytes()
+    def _core(self, word: str) -> bytes:
+        shown = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+        return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
-    def _whole(self, word: str) -> bytes:
+    def _other(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-            self.core.clear()
-        plain = self.PLAIN.match(word)
-        if not plain or len(word) > 1000:
-            ids = self._whole(word)
-        else:
-            core, tail = plain[1].lower(), plain[2]
-            if core not in self.core:
-                self.core[core] = self._merged(core)
-            if tail and tail not in self.core:
-                self.core[tail] = self._whole(tail)
-            ids = self.core[core] + (self.core[tail] if tail else b"")
-        if len(word) < 100:
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def _look_up(self, words: list[str], cache: dict[str, bytes], make) -> list[bytes]:
+        out = []
+        for word in words:
+            ids = cache.get(word)
+            if ids is None:
+                ids = make(word)
+                if len(word) < 100:
+                    if len(cache) >= CACHED_WORDS:
+                        cache.clear()
+                    cache[word] = ids
+            out.append(ids)
+        return out
+
+    def ids(self, texts):
+        """Ids of all texts of an Arrow column, one after the other, and how many each text has."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary
+        parts = pc.extract_regex(distinct, self.PLAIN)
+        plain = pc.is_valid(parts)
+        core = pc.utf8_lower(pc.fill_null(parts.field(0), "")).dictionary_encode()
+        # Where no part matched, the whole word takes the place of the tail.
+        tail = pc.if_else(plain, pc.fill_null(parts.field(1), ""), distinct).dictionary_encode()
+        cores = self._look_up(core.dictionary.to_pylist(), self.core, self._core)
+        tails = self._look_up(tail.dictionary.to_pylist(), self.other, self._other)
+        units = cores + tails
+        pool = np.frombuffer(b"".join(units), "<u4")
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        two = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + len(cores)], axis=1).ravel()
+        pool, sizes = _gather(pool, sizes, two), sizes[two].reshape(-1, 2).sum(axis=1)
+        at = words.indices.to_numpy()
+        flat, stop = _gather(pool, sizes, at), np.cumsum(sizes[at])
+        bounds = np.concatenate([[0], stop])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return flat, np.diff(bounds)
+
+
+def _gather(pool, sizes, at):
+    """The runs numbered ``at`` of a pool that holds runs of ``sizes`` side by side."""
+    import numpy as np
+
+    n = sizes[at]
+    shift = (np.cumsum(sizes) - sizes)[at] - np.cumsum(n) + n
+    return pool[np.arange(n.sum()) + np.repeat(shift, n)]
 
 
 def word_ids(vocabulary: str) -> WordIds:
@@ -228,7 +257,7 @@ def pack(
 
         out = to_arrow_schema(schema)
         end = array("I", [end_id]).tobytes()
-        encode = word_ids(vocabulary).ids
+        words = word_ids(vocabulary)
         packer = Packer(max_tokens, tiers, TaskContext.get().partitionId() << 32, keep_ids)
 
         def rows():
@@ -244,10 +273,11 @@ def pack(
 
         count = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    packer.add(count, name, encode(text or "") + end)
+            for part in by_bytes(batch, 1, SLICE_BYTES):
+                ids, sizes = words.ids(part.column(1))
+                stops = np.cumsum(sizes)
+                for name, stop, n in zip(part.column(0).to_pylist(), stops.tolist(), sizes.tolist(), strict=True):
+                    packer.add(count, name, ids[stop - n : stop].tobytes() + end)
                     count += 1
                 if packer.held >= HELD_TOKENS:
                     packer.close(last=False)

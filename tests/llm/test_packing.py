@@ -58,7 +58,6 @@ def test_odd_texts(spark, tokenizer):
     texts = {i: "".join(rng.choices(alphabet, k=rng.randint(0, 60))) for i in range(300)}
     texts |= {300: None, 301: "", 302: "  \n ", 303: "word " * 30_000, 304: "x" * 5_000, 305: "<|endoftext|> a", 306: "Don't WE'LL it's"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
-    tokenizer.encode_special_tokens = True
     check(packing.pack(docs).collect(), texts, tokenizer)
 
 
