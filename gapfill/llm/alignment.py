@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes, by diagonal run skipping.
 
 Both token lists become rising arrays of byte ends. While the tokens correspond one to one, the arrays are equal along
-a diagonal: ``ends_a[i] == ends_b[i + shift]``. A run is followed by exponential probing (1, 2, 4, ... entries
+a diagonal: ``ends_a[i] == ends_b[i + shift]``. A run is followed by exponential probing (4, 8, 16, ... entries
 compared at once, then bisection in the stretch that differs) and jumped in one go. Where the diagonal breaks, the
 group is resolved token by token up to the next common end, and the shift becomes the new difference of the indices.
 
@@ -13,8 +13,8 @@ number is bounded) and a shuffle join of the rare ones.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +27,21 @@ from .common import map_slices, worker_cache
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Id pairs that are broadcast with their counts (16 bytes each); beyond, the rest of them is joined by shuffle.
 MAX_BROADCAST_PAIRS = 2_000_000
+#: Entries of the first probe along a diagonal.
+PROBE = 4
+
+
+#: Texts of these characters alone fall into the same pieces whatever Unicode version a library knows.
+STABLE = re.compile(r"[\t\n\r\x20-\x7E\u00A1-\u00AC\u00AE-\u024F]*")
+#: How a byte-level vocabulary's text is cut before merging (a fixed value of that kind of tokenizer).
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Vocabularies:
     """Both tokenizers and the bytes of their entries."""
 
     def __init__(self, first: str, second: str):
+        import numpy as np
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -48,21 +57,49 @@ class Vocabularies:
             known = all(c in byte_of for c in token)
             self.bytes_a[i] = bytes(byte_of[c] for c in token) if known else token.encode()
         self.bytes_b = [_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.size_a = [len(x) for x in self.bytes_a]
-        self.size_b = [len(x) for x in self.bytes_b]
-        self.name_a = [str(i) for i in range(len(self.bytes_a))]
-        self.name_b = [str(i) for i in range(len(self.bytes_b))]
-
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        self.table_a, self.table_b = (np.array(table, object) for table in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = (np.array([len(x) for x in table]) for table in (self.bytes_a, self.bytes_b))
+        self.names = group_names(len(self.bytes_a), len(self.bytes_b))
+        self.merger = self._merger(first)
+
+    def _merger(self, path: str):
+        """A faster merger of the same vocabulary, where ids tell the order of the merges; else None. It cuts bytes, so it
+        gives them all back."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        model, cut = kind["model"], kind["pre_tokenizer"] or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not kind["normalizer"]
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", ())]
+        if not plain or any(model["vocab"].get(m) != 256 + i for i, m in enumerate(merges)):
+            return None
+        special = {t["id"] for t in kind["added_tokens"]}
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(merges)) if i not in special}
+        return tiktoken.Encoding("aligned", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def first_ids(self, text: str):
+        import numpy as np
+
+        if self.merger and STABLE.fullmatch(text):
+            return self.merger.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def encode(self, text: str):
         """Ids of both; none if the text is empty or either's bytes are not those of a blank and the text."""
+        import numpy as np
+
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not text:
-            return [], []
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
-        b = self.b.encode(text, num_threads=1)
+            return nothing
+        a = self.first_ids(" " + text)
+        b = np.array(self.b.encode(text, num_threads=1), np.int64)
         want = (" " + text).encode()
-        for ids, table in ((a, self.bytes_a), (b, self.bytes_b)):
-            if b"".join([table[i] for i in ids]) != want:
-                return [], []
+        if len(want) != self.size_a[a].sum() or len(want) != self.size_b[b].sum():
+            return nothing
+        for ids, table in ((a, self.table_a), (b, self.table_b)):
+            if b"".join(table[ids].tolist()) != want:
+                return nothing
         return a, b
 
 
@@ -85,87 +122,87 @@ def vocabularies(first: str, second: str) -> Vocabularies:
 
 
 def run_length(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many entries of ``a`` from ``i`` equal those of ``b`` from ``j``, by exponential probing and bisection."""
+    """How many entries of ``a`` from ``i`` equal those of ``b`` from ``j``.
+
+    Exponential probing: stretches of ``PROBE`` entries, twice that, and so on are compared at once; the one that differs
+    is halved down to ``PROBE`` entries, which are looked at one by one.
+    """
     most = min(len(a) - i, len(b) - j)
-    done, step = 0, 1
-    while done < most:
-        step = min(step, most - done)
-        if a[i + done : i + done + step] == b[j + done : j + done + step]:
-            done += step
-            step *= 2
-            continue
-        while step > 1:  # the first difference is in this stretch
-            half = step // 2
-            if a[i + done : i + done + half] == b[j + done : j + done + half]:
-                done += half
-                step -= half
-            else:
-                step = half
-        break
+    done, step = 0, PROBE
+    while step <= most - done and a[i + done : i + done + step] == b[j + done : j + done + step]:
+        done += step
+        step *= 2
+    step = min(step, most - done)
+    while step > PROBE:
+        half = step // 2
+        if a[i + done : i + done + half] == b[j + done : j + done + half]:
+            done += half
+            step -= half
+        else:
+            step = half
+    i, j = i + done, j + done
+    for x, y in zip(a[i : i + step], b[j : j + step], strict=True):
+        if x != y:
+            break
+        done += 1
     return done
 
 
-def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Stretches ``(i, j, n, m)`` that cover two rising lists of ends with the same last end.
+def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """All overlapping entries of two rising lists of ends with the same last end, as two lists of indices, in order.
 
-    With ``n == m > 0`` a run of n one-to-one groups, or of one if that is 1; else one group of n and m entries. Equal
-    counts above one that are not one to one come as ``(i, j, -n, m)``.
+    A run on the diagonal gives one to one links; a group off it is resolved by merging its ends, which gives its links,
+    and where it closes gives the new shift.
     """
-    out = []
+    left: list[int] = []
+    right: list[int] = []
     i = shift = 0
     last = len(a)
     while i < last:
         j = i + shift
-        n = run_length(a, b, i, j)
-        if n:
-            out.append((i, j, n, n))
-            i += n
-            if i == last:
-                break
-            j = i + shift
-        x, y = i, j
-        while a[x] != b[y]:
-            if a[x] < b[y]:
-                x += 1
-            else:
-                y += 1
-        n, m = x + 1 - i, y + 1 - j
-        out.append((i, j, -n if n == m else n, m))
-        i, shift = x + 1, y - x
-    return out
-
-
-def links(a: list[int], b: list[int], stretches: list[tuple[int, int, int, int]]) -> tuple[list[int], list[int]]:
-    """Indices of all overlapping entries, as two lists: one to one in runs, by merging the ends in other groups."""
-    left: list[int] = []
-    right: list[int] = []
-    for i, j, n, m in stretches:
-        if n == m:
+        if a[i] == b[j]:
+            n = run_length(a, b, i, j)
             left += range(i, i + n)
             right += range(j, j + n)
+            i += n
             continue
-        stop = i + abs(n)
-        while i < stop:
+        while a[i] != b[j]:
             left.append(i)
             right.append(j)
             if a[i] < b[j]:
                 i += 1
-            elif a[i] > b[j]:
-                j += 1
             else:
-                i, j = i + 1, j + 1
+                j += 1
+        left.append(i)
+        right.append(j)
+        i, shift = i + 1, j - i
     return left, right
 
 
-def groups_text(a: list[str], b: list[str], stretches: list[tuple[int, int, int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
-    out = []
-    for i, j, n, m in stretches:
-        if n == m:
-            out += map("|".join, zip(a[i : i + n], b[j : j + n], strict=True))
-        else:
-            out.append(",".join(a[i : i + abs(n)]) + "|" + ",".join(b[j : j + m]))
-    return ";".join(out)
+def group_names(n_a: int, n_b: int) -> tuple:
+    """How ids are written: within a group of the first side, as its last; the same for the second side."""
+    import numpy as np
+
+    return tuple(np.array([f"{i}{mark}" for i in range(n)], object) for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks)
+
+
+def groups_text(a, b, last_a, last_b, names: tuple) -> str:
+    """``a1,a2|b1;a3|b2,b3`` of two arrays of ids and the last index of every group on both sides.
+
+    Every id has its place among those of both sides, group by group.
+    """
+    import numpy as np
+
+    out = np.empty(len(a) + len(b), object)
+    for ids, mine, other, plain, closing, after in ((a, last_a, last_b, names[0], names[1], 0), (b, last_b, last_a, names[2], names[3], 1)):
+        group = np.zeros(len(ids) + 1, np.int64)
+        group[mine + 1] = 1
+        group = group.cumsum()[:-1]
+        before = np.concatenate([[0], other + 1])[group + after]  # ids of the other side that stand before
+        shown = plain[ids]
+        shown[mine] = closing[ids[mine]]
+        out[np.arange(len(ids)) + before] = shown
+    return "".join(out.tolist())[:-1]
 
 
 def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND, keep_groups: bool = False) -> DataFrame:
@@ -185,18 +222,17 @@ def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str
         out: dict[str, list] = {n: [] for n in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times", "groups")}
         for text in rows["text"]:
             a, b = both.encode(text)
-            ends_a = list(accumulate([both.size_a[i] for i in a]))
-            ends_b = list(accumulate([both.size_b[i] for i in b]))
-            stretches = align(ends_a, ends_b)
-            left, right = links(ends_a, ends_b, stretches)
-            groups = groups_text([both.name_a[i] for i in a], [both.name_b[i] for i in b], stretches)
-            ids = np.asarray(a, np.int64)[left] * width + np.asarray(b, np.int64)[right] if a else np.zeros(0, np.int64)
+            ends_a, ends_b = both.size_a[a].cumsum(), both.size_b[b].cumsum()
+            left, right = (np.array(side, np.int64) for side in align(ends_a.tolist(), ends_b.tolist()))
+            closes = ends_a[left] == ends_b[right]  # a group's last link
+            groups = groups_text(a, b, left[closes], right[closes], both.names)
+            ids = a[left] * width + b[right]
             pairs, times = np.unique(ids, return_counts=True)
             out["n_a"].append(len(a))
             out["n_b"].append(len(b))
-            out["n_groups"].append(sum(n if n == m else 1 for _, _, n, m in stretches))
+            out["n_groups"].append(int(closes.sum()))
             out["n_links"].append(len(left))
-            out["groups_sha256"].append(hashlib.sha256(groups.encode()).hexdigest() if a else "")
+            out["groups_sha256"].append(hashlib.sha256(groups.encode()).hexdigest() if len(a) else "")
             out["pairs"].append(pairs)
             out["times"].append(times.astype(np.int32))
             out["groups"].append(groups)

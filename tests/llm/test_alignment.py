@@ -7,7 +7,7 @@ from itertools import accumulate
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gapfill.llm import alignment
@@ -26,14 +26,7 @@ def _plain(ends_a, ends_b):
     return groups, over
 
 
-def _grouped(stretches):
-    for i, j, n, m in stretches:
-        if n == m:
-            yield from (([i + k], [j + k]) for k in range(n))
-        else:
-            yield list(range(i, i + abs(n))), list(range(j, j + m))
-
-
+@settings(deadline=None)
 @given(st.lists(st.tuples(st.booleans(), st.booleans()), max_size=60), st.integers(0, 40))
 def test_align(marks, tail):
     """Random ends; a long one-to-one tail makes the probing double."""
@@ -41,13 +34,14 @@ def test_align(marks, tail):
     b = [i + 1 for i, (_, y) in enumerate(marks) if y]
     more = range(len(marks) + 1, len(marks) + tail + 2)
     a, b = a + list(more), b + list(more)
-    stretches = alignment.align(a, b)
+    left, right = alignment.align(a, b)
     groups, over = _plain(a, b)
-    assert list(_grouped(stretches)) == groups
-    assert sorted(zip(*alignment.links(a, b, stretches))) == sorted(over)
-    names = [f"a{i}" for i in range(len(a))], [f"b{j}" for j in range(len(b))]
-    want = ";".join(",".join(f"a{i}" for i in x) + "|" + ",".join(f"b{j}" for j in y) for x, y in groups)
-    assert alignment.groups_text(*names, stretches) == want
+    assert list(zip(left, right)) == over
+    closes = np.array([a[i] == b[j] for i, j in over], bool)
+    ends = np.array(left)[closes], np.array(right)[closes]
+    assert [e.tolist() for e in ends] == [[x[-1] for x, _ in groups], [y[-1] for _, y in groups]]
+    want = ";".join(",".join(f"{i}" for i in x) + "|" + ",".join(f"{j}" for j in y) for x, y in groups)
+    assert alignment.groups_text(np.arange(len(a)), np.arange(len(b)), *ends, alignment.group_names(len(a), len(b))) == want
 
 
 def test_run_length():
@@ -56,7 +50,7 @@ def test_run_length():
         b = [*range(n), *(x + 0.5 for x in range(n, 1000))]
         assert alignment.run_length(a, b, 0, 0) == n
     assert alignment.run_length([1, 2], [1, 2, 3], 0, 0) == 2 and alignment.run_length(a, a, 1000, 1000) == 0
-    assert alignment.align([], []) == []
+    assert alignment.align([], []) == ([], [])
 
 
 def _tokenize(text):
@@ -98,6 +92,20 @@ def brute(rows):
         yield key, len(left), len(right), len(groups), over.total(), n_best, sum(n * counts[p] for p, n in over.items()), sha
 
 
+@settings(deadline=None, max_examples=400)
+@given(st.text(st.characters(max_codepoint=0x24F), max_size=80) | st.text(st.sampled_from(list("ab' \n\t'sllvé½²1.,!ßÀ_<|>\r")), max_size=80))
+def test_faster_merger_gives_the_ids_of_the_tokenizer(text):
+    both = alignment.vocabularies(alignment.FIRST, alignment.SECOND)
+    assert both.merger is not None
+    assert both.first_ids(text).tolist() == both.a.encode(text, add_special_tokens=False).ids
+
+
+def test_faster_merger_on_documents(spark):
+    both = alignment.vocabularies(alignment.FIRST, alignment.SECOND)
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        assert both.first_ids(" " + row["text"]).tolist() == both.a.encode(" " + row["text"], add_special_tokens=False).ids
+
+
 ODD = [
     None, "", " ", "  two  blanks ", "\n\n\ttabs", "<|endoftext|> and </s> and <s>", "naïve café – ﬁ ½ ①", "日本語のテキスト", "👩‍👩‍👧 🇩🇪",
     "a b　c▁d", "\u0000\u0001", "<0x41> [PAD]", "same", "same", "\r\n end", "x" * 3_000, "word " * 2_000, "﻿bom",
