@@ -11,9 +11,8 @@ from checks.impute import BLANK
 from gapfill.functions.text import ngrams, term_counts
 from gapfill.operators.chained import ChainedRidgeImputer
 from gapfill.operators.context import ContextEncoder
-from gapfill.operators.embed import SvdEmbed
-from gapfill.operators.knn import IterativeTextImputer, KnnTextImputer, knn_donors
-from gapfill.operators.similar import nearest_text
+from gapfill.operators.knn import IterativeTextImputer, KnnTextImputer, embed_observed, knn_donors
+from gapfill.operators.similar import nearest_text, topk_similar
 from gapfill.operators.tfidf import TfIdf, vocabulary
 from gapfill.session import spread
 
@@ -69,10 +68,7 @@ def tfidf_of(spark, sf):
 
 @query("svd_embed")
 def svd_embed(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    tfidf = TfIdf("text", 3000).fit(docs)
-    vectors = tfidf.transform(docs).drop("text")
-    return SvdEmbed(256).fit(vectors, tfidf.dim).transform(vectors).select("doc_id", "embedding")
+    return embed_observed(table(spark, sf, "documents"), "doc_id", "text", 3000, 256, 42)
 
 
 def _one_hot(c: str) -> str:
@@ -123,6 +119,43 @@ def knn_impute(spark, sf):
     return KnnTextImputer("row_id", "text", CONTEXT).fit(df).transform(df).select("row_id", "text", "was_filled")
 
 
+@query(
+    "knn_impute_terms",
+    f"""{duck_with('doc_holes')}, {_DONORS},
+        weighted AS (SELECT row_id, donor, CASE WHEN min(distance) OVER (PARTITION BY row_id) = 0 THEN CAST(distance = 0 AS INT)
+          ELSE 1 / distance END AS weight FROM near),
+        observed AS (SELECT row_id, text FROM doc_holes WHERE NOT {BLANK}), {grams_sql('observed', 'row_id', 'text')},
+        {tfidf_sql('grams', '(SELECT count(*) FROM observed)', 200, 'tw')},
+        means AS (SELECT row_id, term, sum(weight * w) AS m FROM weighted JOIN tw ON k = donor GROUP BY row_id, term),
+        norms AS (SELECT row_id, sqrt(sum(m * m)) AS l FROM means GROUP BY row_id),
+        scored AS (SELECT means.row_id, k, round(sum(m * w) / any_value(l), 9) AS score FROM means JOIN norms ON norms.row_id = means.row_id
+          JOIN tw USING (term) GROUP BY means.row_id, k),
+        best AS (SELECT row_id, k FROM scored QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, k) = 1)
+        SELECT d.row_id, coalesce(o.text, d.text) AS text, {BLANK.replace('text', 'd.text')} AS was_filled
+        FROM doc_holes d LEFT JOIN best ON best.row_id = d.row_id LEFT JOIN observed o ON o.row_id = best.k""",
+)
+def knn_impute_terms(spark, sf):
+    """With no more terms than components the embedding is the TF-IDF vector itself, which SQL can follow to the text."""
+    df = fixture(spark, sf, "doc_holes")
+    model = KnnTextImputer("row_id", "text", CONTEXT, max_features=200).fit(df)
+    return model.transform(df).select("row_id", "text", "was_filled")
+
+
+@query(
+    "embedding_neighbours",
+    """WITH dims AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+      unit AS (SELECT vec_id, i, CAST(x AS DOUBLE) / sqrt(sum(CAST(x AS DOUBLE) * x) OVER (PARTITION BY vec_id)) AS x FROM dims),
+      scored AS (SELECT a.vec_id, b.vec_id AS match, round(sum(a.x * b.x), 9) AS score FROM unit a JOIN unit b USING (i) GROUP BY ALL)
+      SELECT vec_id, match, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, match) AS rank, round(score, 6) AS score
+      FROM scored QUALIFY rank <= 5""",
+)
+def embedding_neighbours(spark, sf):
+    """Every vector against all, by clusters and bounds."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    found = topk_similar(vectors, vectors, 5, pruned=True)
+    return found.select(F.col("query").alias("vec_id"), "match", "rank", F.round("score", 6).alias("score"))
+
+
 @query("iterative_text_impute")
 def iterative_text_impute(spark, sf):
     df = fixture(spark, sf, "doc_holes")

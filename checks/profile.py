@@ -9,7 +9,7 @@ from gapfill.functions.text import rate_tag  # noqa: F401  (part of the public e
 from gapfill.operators.profile import missing_profile, missing_summary, shape, summarize_column
 from gapfill.session import scratch_path
 from gapfill.sources.catalogue import filter_results, parse_catalogue
-from gapfill.sources.results import alias_metrics, expand_metrics, read_results, union_runs
+from gapfill.sources.results import alias_metrics, expand_metrics, read_results, read_run_summary, union_runs, write_run_summary
 from gapfill.sources.splits import export_splits, load_split, preview
 
 MAPPING = {"train": "documents.parquet", "test": "conversations.parquet"}
@@ -192,3 +192,29 @@ def alias_metrics_of(spark, sf):
     return alias_metrics(maps, {"rmse": ["eval_rmse", "test_rmse"], "roc_auc": ["roc_auc", "eval_roc_auc"]}).select(
         "event_id", "rmse", "roc_auc"
     )
+
+
+@query(
+    "run_summaries",
+    f"""{duck_with('runs')}, {RUN_MAPS_SQL}
+        SELECT mechanism || '_' || imputer || '_' || missing_rate || '_' || (event_id % 40) AS dataset, CAST(0 AS INT) AS exit_code,
+               mechanism AS run_group, round(avg(eval_rmse), 6) AS metric_eval_rmse, round(avg(test_rmse), 6) AS metric_test_rmse
+        FROM run_maps GROUP BY mechanism, imputer, missing_rate, event_id % 40""",
+)
+def run_summaries(spark, sf):
+    """Batches of runs written as summaries, read back, and their metrics spread without naming any."""
+    runs = run_maps(spark, sf).withColumn("part", F.col("event_id") % 40)
+    values = {k: F.avg(F.try_element_at("metrics", F.lit(k))) for k in ("eval_rmse", "test_rmse")}
+    means = runs.groupBy("mechanism", "imputer", "missing_rate", "part").agg(*(v.alias(k) for k, v in values.items()))
+    metrics = F.map_filter(F.create_map(*[x for k in values for x in (F.lit(k), F.col(k))]), lambda _, v: v.isNotNull())
+    batches = means.select(
+        "mechanism", F.concat_ws("_", "mechanism", "imputer", "missing_rate", "part").alias("dataset"), F.lit(None).cast("string").alias("output_dir"),
+        F.lit(0).alias("exit_code"), metrics.alias("metrics"),
+    )
+    read = [
+        read_run_summary(spark, write_run_summary(batches.filter(F.col("mechanism") == m).drop("mechanism"), scratch_path(spark, f"summary-{m}")), m)
+        for m in ("mar", "mcar")
+    ]
+    both = union_runs(*(expand_metrics(runs) for runs in read))
+    shown = [c for c in both.columns if c.startswith("metric_")]
+    return both.select("dataset", "exit_code", "run_group", *(F.round(c, 6).alias(c) for c in shown))

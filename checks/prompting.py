@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks.features import grams_sql, tfidf_sql
 from checks.fixtures import duck_with, fixture, query, table
 from checks.impute import BLANK
+from checks.inject import GRID_SQL, grid
 from gapfill.functions.scores import (
     extract_completion,
     lexicon_gate,
@@ -21,6 +22,7 @@ from gapfill.operators.examples import example_corpus, topk_examples
 from gapfill.operators.neardup import exact_dup_gate, near_dup_gate
 from gapfill.operators.prompts import PromptTemplate, complete
 from gapfill.plans.prompt_impute import PromptImputer
+from gapfill.plans.versions import impute_grid
 from gapfill.session import materialize, scratch_path
 from gapfill.sources.results import read_log, write_log
 
@@ -261,7 +263,32 @@ def interaction_log(spark, sf):
     return read_log(spark, path, 5)
 
 
-@query("prompt_impute")
+# The first of three attempts whose answer is no refusal; the stub's texts are never alike.
+def _stub_fills(source: str, blank: str) -> str:
+    return f"""tries AS (SELECT *, md5(row_id || ':' || attempt) AS digest FROM (SELECT *, unnest(range(1, 4)) AS attempt FROM {source} WHERE {blank})),
+  firsts AS (SELECT * EXCLUDE (digest), {_STUB_TEXT} AS answer FROM tries WHERE {_BYTE.format(i='1')} % 4 < 3),
+  fills AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY mechanism, missing_rate, row_id ORDER BY attempt) = 1)"""
+
+
+@query(
+    "impute_grid_llm",
+    f"""{duck_with('doc_base')}, {GRID_SQL}, {_stub_fills("(SELECT * FROM grid WHERE missing_rate = '30')", BLANK)}
+        SELECT grid.row_id, grid.mechanism, grid.missing_rate, CASE WHEN {BLANK.replace('text', 'grid.text')} THEN coalesce(answer, grid.text) ELSE grid.text END AS text,
+               {BLANK.replace('text', 'grid.text')} AND answer IS NOT NULL AS was_filled
+        FROM grid LEFT JOIN fills ON fills.row_id = grid.row_id AND fills.mechanism = grid.mechanism""",
+)
+def impute_grid_llm(spark, sf):
+    """The prompted imputer in the flow of all versions: asked for the largest rate only, carried to the others."""
+    versions = materialize(grid(spark, sf), "versions")
+    filled = impute_grid(versions, {"llm": PromptImputer(stub_provider, "row_id", template=_T)}, "row_id")
+    return filled.select("row_id", "mechanism", "missing_rate", "text", "was_filled")
+
+
+@query(
+    "prompt_impute",
+    f"""{duck_with('doc_holes')}, rows_ AS (SELECT *, '' AS mechanism, '' AS missing_rate FROM doc_holes), {_stub_fills('rows_', BLANK)}
+        SELECT d.row_id, coalesce(answer, d.text) AS text, answer IS NOT NULL AS was_filled FROM doc_holes d LEFT JOIN fills USING (row_id)""",
+)
 def prompt_impute(spark, sf):
     imputer = PromptImputer(stub_provider, "row_id", template=_T)
     return imputer.impute(fixture(spark, sf, "doc_holes")).select("row_id", "text", "was_filled")

@@ -14,7 +14,7 @@ from gapfill.operators.impute_basic import ConstantImputer, ModeImputer
 from gapfill.operators.metrics import dp_diff, macro_f1, regression_metrics, roc_auc_ovr, screen_metrics
 from gapfill.operators.regress import RegressConfig, TextRegressor, best_run, regression_prep, sweep
 from gapfill.operators.split import stratified_split
-from gapfill.plans.screening import run_batch, screen_all
+from gapfill.plans.screening import run_batch, screen_all, screen_catalogue
 from gapfill.plans.versions import impute_grid
 from gapfill.sources.catalogue import discover_datasets, load_catalogue, write_versions
 from gapfill.session import materialize, scratch_path
@@ -252,3 +252,15 @@ def screen_catalogue_inputs(spark, sf):
     loaded = load_catalogue(spark, discover_datasets(spark, root))
     width = len([c for c in loaded.columns if c in docs.columns])
     return loaded.groupBy("experiment_id").agg(F.count("*").alias("num_rows"), F.lit(width).cast("long").alias("num_cols"))
+
+
+@query("screen_catalogue")
+def screen_catalogue_of(spark, sf):
+    """The baseline and two filled versions as files: discovered, loaded, screened, saved, the best five given."""
+    root = scratch_path(spark, "catalogue")
+    fixture(spark, sf, "doc_base").write.parquet(f"{root}/train.parquet")
+    filled = filled_versions(spark, sf).filter("imputer = 'simple_most_frequent' and missing_rate = '30'")
+    write_versions(filled.drop("split", "was_filled"), f"{root}/versions")
+    path, best = screen_catalogue(spark, discover_datasets(spark, root), "row_id", scratch_path(spark, "screened"))
+    saved = spark.read.csv(path, header=True).select("experiment_id")
+    return best.join(saved, "experiment_id")

@@ -17,8 +17,11 @@ def emit_blocks(totals: dict[bytes, np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"key": list(totals), "block": [m.tobytes() for m in totals.values()]})
 
 
-def sum_blocks(blocks: DataFrame, shape: tuple[int, int]) -> dict[bytes, np.ndarray]:
-    """Sum the matrices of equal key. Tasks hold one matrix per key, never all of a group."""
+def sum_blocks(blocks: DataFrame, shape: tuple[int, int], parts: int) -> dict[bytes, np.ndarray]:
+    """Sum the matrices of equal key, which come from ``parts`` tasks at most.
+
+    Tasks hold one matrix per key, never all of a group.
+    """
 
     def add(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[bytes, np.ndarray] = {}
@@ -32,7 +35,6 @@ def sum_blocks(blocks: DataFrame, shape: tuple[int, int]) -> dict[bytes, np.ndar
                     totals[key] = part.copy()
         yield emit_blocks(totals)
 
-    parts = blocks.rdd.getNumPartitions()
     while parts > FAN_IN:
         parts = -(-parts // FAN_IN)
         blocks = blocks.repartition(parts).mapInPandas(add, BLOCK_SCHEMA)

@@ -94,7 +94,8 @@ def pattern_moments(df: DataFrame, cols: Sequence[str], means: np.ndarray) -> di
         yield emit_blocks(totals)
 
     rows = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    return sum_blocks(rows.mapInPandas(partial, BLOCK_SCHEMA), (width, width))
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    return sum_blocks(rows.coalesce(parts).mapInPandas(partial, BLOCK_SCHEMA), (width, width), parts)
 
 
 def chain_steps(

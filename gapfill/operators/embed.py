@@ -2,6 +2,7 @@
 
 Subspace iteration: a small dense block is multiplied by the Gram matrix in one distributed
 pass per round, so the vocabulary-wide Gram matrix is never formed and the data are only scanned.
+A pass has one task per core, however many files the vectors lie in, so that few blocks leave the tasks.
 """
 
 from __future__ import annotations
@@ -52,7 +53,9 @@ def gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
                 total[used] += a.T @ (a @ b[used])
         yield emit_blocks({b"": total})
 
-    return sum_blocks(rows.mapInPandas(partial, BLOCK_SCHEMA), block.shape).get(b"", np.zeros(block.shape))
+    parts = sc.defaultParallelism
+    products = rows.coalesce(parts).mapInPandas(partial, BLOCK_SCHEMA)
+    return sum_blocks(products, block.shape, parts).get(b"", np.zeros(block.shape))
 
 
 @dataclass(frozen=True)
@@ -65,12 +68,14 @@ class SvdEmbed:
     rounds: int = 4
     oversampling: int = 10
 
-    def fit(self, df: DataFrame, dim: int) -> SvdModel:
+    def fit(self, df: DataFrame, dim: int, stored: bool = False) -> SvdModel:
+        """``stored`` says that ``df`` is a written table, so that its vectors need not be written again."""
         if dim <= 1 or dim <= self.k:
             return SvdModel(self.vector, dim, None)
         k = max(1, min(self.k, dim - 1))
         width = min(k + self.oversampling, dim)
-        rows = materialize(df.filter(F.col(self.vector).isNotNull()).select(*sparse_parts(self.vector)), "svd-rows")
+        rows = df.filter(F.col(self.vector).isNotNull()).select(*sparse_parts(self.vector))
+        rows = rows if stored else materialize(rows, "svd-rows")
         rng = np.random.default_rng(self.seed)
         basis, _ = np.linalg.qr(rng.standard_normal((dim, width)))
         for _ in range(self.rounds):

@@ -108,8 +108,8 @@ class KnnTextImputer:
 def embed_observed(observed: DataFrame, key: str, text: str, max_features: int, svd: int, seed: int) -> DataFrame:
     """Embeddings of the observed texts, written once: ``(key, embedding)``."""
     tfidf = TfIdf(text, max_features).fit(observed)
-    vectors = tfidf.transform(spread(observed.select(_col(key), _col(text)))).drop(text)
-    model = SvdEmbed(svd, seed=seed).fit(vectors, tfidf.dim)
+    vectors = materialize(tfidf.transform(spread(observed.select(_col(key), _col(text)))).drop(text), "vectors")
+    model = SvdEmbed(svd, seed=seed).fit(vectors, tfidf.dim, stored=True)
     return materialize(model.transform(vectors).select(key, "embedding"), "embeddings")
 
 

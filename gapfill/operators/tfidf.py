@@ -1,7 +1,7 @@
 """Vocabulary selection and TF-IDF.
 
-The vocabulary is an aggregate over run-length-encoded rows; vectors are made row by row with
-``CountVectorizerModel``, so vectorising a table never shuffles it.
+The vocabulary is an aggregate over terms that are counted and summed in place; vectors are made batch by
+batch, so vectorising a table never shuffles it. Both also take rows whose terms are counted already.
 """
 
 from __future__ import annotations
@@ -10,26 +10,23 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapfill.functions.text import _col, ngrams, term_counts
+from gapfill.functions.text import _col
+from gapfill.operators.terms import counted_sums, term_sums, tfidf_vector
 from gapfill.session import spread
 
 
-def term_stats(df: DataFrame, text: str, ngram: Sequence[int] = (1, 2), min_len: int = 1, weight: str | None = None) -> DataFrame:
+def term_stats(
+    df: DataFrame, text: str, ngram: Sequence[int] = (1, 2), min_len: int = 1, weight: str | None = None, counted: bool = False
+) -> DataFrame:
     """Corpus frequency ``tf`` and document frequency ``df`` of every term.
 
-    ``weight`` is the number of rows a (de-duplicated) row stands for.
+    ``weight`` is the number of rows a (de-duplicated) row stands for. ``counted`` says that ``text`` holds counted terms.
     """
     w = _col(weight) if weight else F.lit(1)
-    rows = spread(df.select(w.cast("long").alias("_w"), _col(text).alias("_text")))
-    terms = rows.select("_w", F.explode(term_counts(ngrams("_text", ngram, min_len))).alias("_t"))
-    return terms.groupBy(F.col("_t.term").alias("term")).agg(
-        F.sum(F.col("_t.tf") * F.col("_w")).alias("tf"), F.sum("_w").alias("df")
-    )
+    return counted_sums(df, text, w) if counted else term_sums(df, text, ngram, min_len, w)
 
 
 def vocabulary(
@@ -40,9 +37,10 @@ def vocabulary(
     ngram: Sequence[int] = (1, 2),
     min_len: int = 1,
     weight: str | None = None,
+    counted: bool = False,
 ) -> DataFrame:
     """Terms with ``df >= min_df``; the ``max_features`` most frequent ones, ties alphabetical."""
-    stats = term_stats(df, text, ngram, min_len, weight).filter(F.col("df") >= min_df)
+    stats = term_stats(df, text, ngram, min_len, weight, counted).filter(F.col("df") >= min_df)
     if max_features is None:
         return stats
     return stats.orderBy(F.desc("tf"), "term").limit(max_features)
@@ -62,31 +60,27 @@ class TfIdf:
     min_len: int = 1
     min_df: int = 1
     weight: str | None = None
+    #: Whether ``text`` is a column of counted terms (see ``terms.counted``) instead of texts.
+    counted: bool = False
 
     def fit(self, df: DataFrame) -> TfIdfModel:
         docs = df.filter(_col(self.text).isNotNull())
         n = docs.agg(F.sum(_col(self.weight)) if self.weight else F.count("*")).first()[0] or 0
         vocab = vocabulary(
-            docs, self.text, self.max_features, self.min_df, self.ngram, self.min_len, self.weight
+            docs, self.text, self.max_features, self.min_df, self.ngram, self.min_len, self.weight, self.counted
         ).collect()
         if not vocab:
             raise ValueError("empty vocabulary: no text with any term to fit on")
         rows = sorted((r["term"], r["df"]) for r in vocab)
         idf = [math.log((1 + n) / (1 + d)) + 1.0 for _, d in rows]
-        terms = [t for t, _ in rows]
-        stages = (
-            CountVectorizerModel.from_vocabulary(terms, inputCol="_terms", outputCol="_tf"),
-            ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf"),
-            Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit"),
-        )
-        return TfIdfModel(self, tuple(terms), stages, n)
+        return TfIdfModel(self, tuple(t for t, _ in rows), tuple(idf), n)
 
 
 @dataclass(frozen=True)
 class TfIdfModel:
     config: TfIdf
     terms: tuple[str, ...] = field(repr=False)
-    stages: tuple = field(repr=False)
+    idf: tuple[float, ...] = field(repr=False)
     n: int = 0
 
     @property
@@ -96,10 +90,7 @@ class TfIdfModel:
     def transform(self, df: DataFrame, out: str = "vector") -> DataFrame:
         """``df`` with a sparse unit vector; terms outside the vocabulary are ignored."""
         cfg = self.config
-        out_df = df.withColumn("_terms", ngrams(cfg.text, cfg.ngram, cfg.min_len))
-        for stage in self.stages:
-            out_df = stage.transform(out_df)
-        return out_df.withColumnRenamed("_unit", out).drop("_terms", "_tf", "_tfidf")
+        return df.withColumn(out, tfidf_vector(cfg.text, self.terms, self.idf, cfg.ngram, cfg.min_len, cfg.counted))
 
     def weights(self, df: DataFrame, *key: str) -> DataFrame:
         """Long form ``(key..., term, weight)``: one narrow pass and a lookup of the term names."""

@@ -126,6 +126,69 @@ def test_topk_ties_go_to_the_smallest_id(spark):
     assert [r["match"] for r in topk_similar(q, c, 2).orderBy("rank").collect()] == [3, 9]
 
 
+def _brute_topk(q, c, k, score):
+    return {(i, j, round(round(s, 9), 6) + 0.0) for i, x in q for s, j in sorted(((score(x, y), j) for j, y in c), key=lambda e: (-round(e[0], 9), e[1]))[:k]}
+
+
+def _cosine(x, y):
+    n = np.linalg.norm(x) * np.linalg.norm(y)
+    return float(np.dot(x, y) / n) if n else 0.0
+
+
+def _found(df):
+    return {(r["query"], r["match"], round(r["score"], 6) + 0.0) for r in df.collect()}
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_pruned_search_against_brute_force(spark, monkeypatch, block):
+    """Clustered vectors, copies of one, zeros, and queries far from all: the pruned form gives the k best, ties by id."""
+    monkeypatch.setattr(similar, "BLOCK_ROWS", block)
+    monkeypatch.setattr(similar, "CLUSTER_ROWS", 8)
+    rng = np.random.default_rng(block)
+    centres = rng.standard_normal((12, 6)) * 3
+    c = [(i, centres[i % 12] + rng.standard_normal(6) * 0.2) for i in range(150)]
+    c += [(200 + i, centres[0]) for i in range(40)] + [(300, np.zeros(6)), (301, -centres[1])]
+    q = [(i, centres[i % 12] * 2 + rng.standard_normal(6)) for i in range(30)] + [(50, np.zeros(6)), (51, centres[0])]
+
+    def frame(rows):
+        return spark.createDataFrame([(i, [float(v) for v in x]) for i, x in rows], "id long, vec array<double>")
+
+    for k in (1, 4, 1000):
+        assert _found(topk_similar(frame(q), frame(c), k, pruned=True)) == _brute_topk(q, c, k, _cosine)
+    assert topk_similar(frame(q), frame(c[:0]), 3, pruned=True).count() == 0
+
+
+def test_pruned_search_of_sparse_rows(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(8)
+    rows = [(i, np.where(rng.random(20) < 0.2, rng.random(20), 0)) for i in range(120)] + [(500, np.zeros(20))]
+
+    def frame(rows):
+        parts = [(i, [int(j) for j in np.flatnonzero(x)], [float(v) for v in x[x != 0]]) for i, x in rows]
+        return spark.createDataFrame(parts, "id long, _i array<int>, _v array<double>")
+
+    q = [(i + 1000, x) for i, x in rows[::5]] + [(2000, np.zeros(20))]
+    for bytes_ in (similar.BROADCAST_BYTES, 0):  # a cluster per term, and one for all
+        monkeypatch.setattr(similar, "BROADCAST_BYTES", bytes_)
+        assert _found(topk_similar(frame(q), frame(rows), 3, dim=20, pruned=True)) == _brute_topk(q, rows, 3, _cosine)
+
+
+def test_bounds_leave_most_clusters_out():
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 16)) * 5
+    rows = np.repeat(centres, 30, axis=0) + rng.standard_normal((1200, 16)) * 0.1
+    for metric in ("cosine", "nan_distance"):
+        made = similar.Clusters(metric, None, similar._centres(rows, metric), np.zeros(0))
+        best, away = made.assign(rows)
+        radius = np.zeros(len(made.centres))
+        np.maximum.at(radius, best, away)
+        bounds = similar.Clusters(metric, None, made.centres, radius).bounds(rows[:50])
+        scores = similar._METRICS[metric](rows[:50], rows)
+        assert all((scores[:, best == c] <= bounds[:, [c]] + 1e-9).all() for c in range(len(radius)))
+        tenth = -np.sort(-scores, axis=1)[:, 9]
+        assert (bounds >= tenth[:, None]).mean() < 0.3
+
+
 def test_svd_spans_the_leading_subspace(spark):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(40)]
