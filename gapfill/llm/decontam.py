@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapfill.session import materialize
+
 from .common import fresh, let, put, text_key
 
 WINDOW = 10
 #: Distinct item windows that are sent to every executor (about 200 bytes each); more are joined by shuffle.
 MAX_BROADCAST_WINDOWS = 500_000
+#: Texts with hits that are sent to every executor where the windows are not.
+MAX_BROADCAST_TEXTS = 20_000
+SALTS = 8
 # Fixed by the contract: what is no digit, a-z or non-ASCII character separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -73,15 +78,41 @@ def _scan(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int
         return F.concat(F.array(first), *(of_length(n, wh, k) for k in lengths))
 
     w = docs.select(*columns, text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w"))
+    if not small:
+        return _scan_by_shuffle(w, grams.filter("glen > 0"), columns, lengths, of_length)
     wide = w.select(
         *columns, "key", "w", F.size("w").alias("n_words"),
         F.inline(let(F.transform("w", lambda x: F.xxhash64(x)), lambda wh: hashes(F.size(wh), wh))),
     )
     same = (wide["h"] == grams["h"]) & (F.col("len") == F.col("glen")) & (F.slice("w", F.col("start") + 1, F.col("len")) == F.col("gram"))
-    found = wide.join(F.broadcast(grams) if small else grams, same)
+    found = wide.join(F.broadcast(grams), same)
     return found.select(*columns, "key", "n_words", "start", "len", "items")
 
 
+def _scan_by_shuffle(w: DataFrame, grams: DataFrame, columns: list[str], lengths: list[int], of_length) -> DataFrame:
+    """What :func:`_scan` gives, with more item windows than may be broadcast.
+
+    Only the hashes of windows meet, as ``key, start, len, h`` of each distinct text; words are fetched for what they hit.
+    A window that many texts share is dealt to ``SALTS`` tasks.
+    """
+    texts = w.select("key", "w").dropDuplicates(["key"])
+    windows = texts.select(
+        "key", F.inline(let(F.transform("w", lambda x: F.xxhash64(x)), lambda wh: F.concat(*(of_length(F.size(wh), wh, k) for k in lengths))))
+    ).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    names = grams.select("h", F.col("glen").alias("len")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = windows.join(names, ["h", "len", "salt"]).groupBy("key").agg(F.collect_set(F.struct("start", "len", "h")).alias("hits"))
+    at = F.transform("hits", lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), x["h"].alias("h"), F.slice("w", x["start"] + 1, x["len"]).alias("gram")))
+    spots = texts.join(hits, "key").select("key", F.inline(at))
+    known = grams.withColumnRenamed("glen", "len")
+    real = spots.join(known, ["h", "len", "gram"]).groupBy("key").agg(F.collect_list(F.struct("start", "len", "items")).alias("found"))
+    # One row per text that is hit; the documents stay where they are as long as these may be broadcast.
+    real = materialize(real, "decontam-hits")
+    few = real.limit(MAX_BROADCAST_TEXTS + 1).count() <= MAX_BROADCAST_TEXTS
+    none = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items")))
+    rows = w.select(*columns, "key", F.size("w").alias("n_words")).join(F.broadcast(real) if few else real, "key", "left")
+    return rows.select(*columns, "key", "n_words", F.inline(F.concat(none, F.coalesce("found", F.slice(none, 1, 0)))))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Which words of every document lie in an item's window, and whose.
 

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from gapfill.llm import decontam
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,14 +49,34 @@ def data():
     return [*docs, (None, None), (1, ""), (1, ""), (7, text(30_000))], items
 
 
-def test_against_brute_force(spark):
+@pytest.fixture(params=["broadcast", "shuffle", "shuffle both"])
+def branch(request, monkeypatch):
+    """The windows are broadcast, or joined by shuffle; the texts that they hit then by broadcast or by shuffle."""
+    if request.param != "broadcast":
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 0)
+    if request.param == "shuffle both":
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_TEXTS", 0)
+
+
+def test_against_brute_force(spark, branch):
     docs, items = data()
     d, b = tables(spark, docs, items)
     got = [(r.doc_id if r.doc_id is not None else -1, r.n_words, r.hits, r["items"]) for r in decontam.contamination(d, b).collect()]
     assert sorted(got) == brute(docs, items)
 
 
-def test_removal(spark):
+def test_removal_of_repeated_and_long_rows(spark, branch):
+    item = " ".join(f"b{i}" for i in range(12))
+    long = "Start; " + "filler word " * 20_000 + item.upper() + ". tail " * 3
+    docs = [(1, long), (1, long), (2, long), (None, item), (None, None), (5, "clean"), (5, "clean")]
+    d, b = tables(spark, docs, [(1, item), (1, item)])
+    want = [t if t in (None, "clean") else "" if t == item else t.replace(item.upper() + ". ", "") for _, t in docs]
+    got = [r.text for r in decontam.decontaminate(d, b, remove="spans").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(r.text or "" for r in decontam.decontaminate(d, b).collect()) == ["", "clean", "clean"]
+
+
+def test_removal(spark, branch):
     docs = [(1, "clean text."), (2, "Some words: " + " ".join(f"b{i}" for i in range(12)) + ", and the end!"), (3, None), (4, "")]
     d, b = tables(spark, docs, [(1, " ".join(f"B{i}" for i in range(12)))])
     assert sorted(r.doc_id for r in decontam.decontaminate(d, b).collect()) == [1, 3, 4]
