@@ -187,24 +187,23 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed and not coalesce(far, false) as kept from judged"""
 
 _RULES6 = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
-_TOKENS6 = r"""list_sort(list_distinct(list_filter([
-    case when len(l) >= 1 and l[-1] <> '' then 'tld:' || l[-1] end,
-    case when len(l) >= 2 and l[-2] <> '' then 'name:' || l[-2] end,
-    case when len(l) > 2 and array_to_string(l[1:len(l) - 2], '.') <> '' then 'sub:' || array_to_string(l[1:len(l) - 2], '.') end,
-    case when regexp_extract(host, '([^.-]+)-', 1) <> '' then 'word:' || regexp_extract(host, '([^.-]+)-', 1) end,
-    case when len(s) >= 1 then 'dir:' || regexp_replace(s[1], '[0-9]+', '0', 'g') end,
-    case when len(s) >= 2 then 'sub-dir:' || regexp_replace(s[2], '[0-9]+', '0', 'g') end,
-    case when regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) <> '' then 'ending:' || regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) end
-  ], lambda x: x is not null)))"""
+_TOKENS6 = r"""list_sort(list_distinct(
+    list_transform(l[len(l):], lambda x: 'tld:' || x) || list_transform(l[len(l) - 1:len(l) - 1], lambda x: 'name:' || x)
+    || list_transform(l[1:greatest(len(l) - 2, 0)], lambda x: 'sub:' || x)
+    || list_transform(list_filter(flatten(list_transform(list_filter(l, lambda x: contains(x, '-')), lambda x: string_split(x, '-'))), lambda x: x <> ''), lambda x: 'word:' || x)
+    || list_transform(s[1:1], lambda x: 'dir:' || x) || list_transform(s[2:], lambda x: 'segment:' || x)
+    || list_filter(['ending:' || regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)], lambda x: x <> 'ending:')
+    || list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: regexp_extract(x, '^([^=]*)', 1)), lambda x: x <> ''), lambda x: 'query:' || x)))"""
 
 OP6_SQL = f"""
 with rules(rh, rp, rv) as (values {_RULES6}),
 cut as (select page_id, row_number() over () as row, url,
                case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 urls as (select page_id, row, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_UPPER}) as host,
-                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) as query from cut),
 tok as (select *, {_TOKENS6} as tokens
-        from (select *, string_split(host, '.') as l, list_filter(string_split(path, '/'), lambda x: x <> '') as s from urls)),
+        from (select *, list_filter(string_split(host, '.'), lambda x: x <> '') as l,
+                list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '0', 'g')) as s from urls)),
 given as (select row, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(rv, length(rh || rp)) as verdict
           from urls, rules where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by row),
 lab as (select row, tokens, quality = 0 as bad from tok join labels on page_id = doc_id
@@ -213,12 +212,12 @@ n as (select count(*) as n, greatest({url_filter.MIN_SUPPORT}, {url_filter.MIN_C
 parts as (select row, bad, list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) as a
           from (select row, bad, tokens, unnest(range(1, 1 << len(tokens))) as m from lab)),
 sup as (select a, count(*) as total, count(*) filter (bad) as b, count(*) filter (not bad) as g from parts group by a),
-mined as (select a, verdict, k / total as confidence, k as support
+mined as (select a, verdict, k / total as confidence, k as support, round(cast(k as double) / total / (cast(base as double) / n), 9) as lift
           from (select a, total, 'block' as verdict, b as k, (select count(*) from lab where bad) as base from sup
                 union all select a, total, 'allow', g, (select count(*) from lab where not bad) from sup), n
           where k >= ceil(least * n) and k > 0 and cast(k as double) / total >= {url_filter.MIN_CONFIDENCE}
-            and cast(k as double) / total / (cast(base as double) / n) >= 1),
-best as (select row, max({{'c': confidence, 's': support, 'n': len(a), 'mined_rule': array_to_string(a, ' '), 'verdict': verdict}}) as m
+            and round(cast(k as double) / total / (cast(base as double) / n), 9) >= 1),
+best as (select row, max({{'l': lift, 'c': confidence, 's': support, 'n': len(a), 'mined_rule': array_to_string(a, ' '), 'verdict': verdict}}) as m
          from tok join mined on list_has_all(tokens, a) where row not in (select row from given) group by row)
 select page_id, host, path, rule, coalesce(given.verdict, m.verdict, 'allow') as verdict, m.mined_rule as mined_rule
 from tok left join given using (row) left join best using (row)"""

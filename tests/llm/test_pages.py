@@ -43,6 +43,42 @@ def test_mined_rules(spark):
     assert uf.judge(pages.limit(0), labelled).count() == 0 and uf.mine(labelled.limit(3)).count() == 0
 
 
+def test_rules_from_any_part_of_a_url(spark):
+    """A label that depends on a deep segment, a later host word or a query name, rare beside the other."""
+    bad = lambda i: [f"http://a{i}.x.com/s/t/{i}/casino/v", f"http://b{i}.win-big-fast.com/s", f"http://c{i}.y.com/s?id=1&refer={i}"]
+    rows = [(u, True) for i in range(8) for u in bad(i)] + [(f"http://{k}{i}.x.com/s/t/{i}?id=2", False) for i in range(100) for k in "de"]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    asked = {1: "http://n.com/q/r/casino/", 2: "https://very-fast.org/", 3: "http://n.com/?a&refer", 4: "http://n.com/s/t?id=7", 5: "http://n.org/" + "deep/" * 3_000}
+    pages = spark.createDataFrame([(k, u) for k, u in asked.items()] * 2 + [(None, None)], "page_id long, url string")
+    got = [(r.page_id, r.verdict) for r in uf.judge(pages, labelled).collect()]
+    assert sorted(got, key=str) == sorted([(1, "block"), (2, "block"), (3, "block"), (4, "allow"), (5, "allow")] * 2 + [(None, "allow")], key=str)
+
+
+def test_planted_blocks_are_found_in_the_given_tables(spark):
+    """Labels that a query name decides: every page of that kind without a given rule is blocked, and no other."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    rows = uf.judge(pages, pages.filter("page_id % 3 = 0").selectExpr("url", "url like '%utm_source%' as bad")).join(pages, "page_id").collect()
+    mined = [r for r in rows if r.rule is None]
+    assert len(mined) > 500 and {("utm_source" in r.url, r.verdict) for r in mined} == {(True, "block"), (False, "allow")}
+
+
+def test_ties_between_rules_go_to_the_last_in_order(spark):
+    mined = spark.createDataFrame([(["a"], "block", 2.0, 1.0, 5), (["b"], "allow", 2.0, 1.0, 5), (["a", "b"], "block", 2.0, 0.9, 9)],
+                                  "antecedent array<string>, verdict string, lift double, confidence double, support long")
+    got = uf.match(spark.createDataFrame([(["a", "b"],)], "tokens array<string>"), mined).first()["mined"]
+    assert (got.mined_rule, got.verdict) == ("b", "allow")
+
+
+@pytest.mark.parametrize("limit", [uf.MAX_BROADCAST_HOSTS, 0])
+def test_joins_give_the_same_with_and_without_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(uf, "MAX_BROADCAST_HOSTS", limit)
+    monkeypatch.setattr(uf, "MAX_BROADCAST_RULES", limit)
+    rows = [(i, f"http://www.x{i % 3}.net/{'en' if i % 2 else 'de'}/{i}") for i in range(40)] + [(99, "http://q.com/z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in uf.judge(pages, pages.selectExpr("url", "true as bad")).collect()}
+    assert got == {i: 'block' for i in range(40)} | {99: 'allow'}
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
