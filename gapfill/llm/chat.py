@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,61 +31,85 @@ def _head(role: Column) -> Column:
     return F.concat(F.lit("### "), escape(role), F.lit(" ###\n"))
 
 
-def ancestors(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Jump tables and the depth of every node, by self-joins that double the jump each time.
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """One row per node: of rows that share one the smallest by parent, role, text and score; a null node is no message."""
+    named = messages.filter("node is not null")
+    if named.groupBy("node").count().filter("count > 1").isEmpty():
+        return named
+    first = F.min(F.struct("parent", "role", "text", "score")).alias("m")
+    return named.groupBy("node").agg(first).select("node", "m.parent", "m.role", "m.text", "m.score")
+
 
-    ``messages`` has ``node`` (unique) and ``parent`` (a node, or null for a root). Table ``k`` has ``node, up``: the
-    ancestor 2^k above. A tree of depth d takes log2(d) joins, each with one row per node that still has such an
-    ancestor; every table is stored, so a lost executor costs no earlier join. A parent that does not exist makes a
-    root; nodes on a cycle would climb for ever, so they raise ValueError.
+def jumps_of(messages: DataFrame) -> list[DataFrame]:
+    """Jump tables, by self-joins that double the jump each time.
+
+    ``messages`` has ``node`` (unique), ``parent`` (a node, or null for a root) and ``score`` (null: 0). Table ``k`` has
+    ``node, up, up_level, sum`` of every node with 2^k ancestors: the last of these, the highest table that this one is in
+    (null: it is a root), and the scores of the node and the 2^k - 1 above it. A tree of depth d takes log2(d)
+    joins, and a node is in as many tables as its own depth asks for, however deep other trees are. Every table is
+    stored, so a lost executor costs no earlier join. A parent that does not exist makes a root; nodes on a cycle
+    would climb for ever, so they raise ValueError.
     """
     known = messages.select(F.col("node").alias("up"))
-    step = materialize(messages.select("node", F.col("parent").alias("up")).join(known, "up", "left_semi").select("node", "up"), "reply-jump")
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum")
+    step = materialize(messages.select("node", F.col("parent").alias("up"), score).join(known, "up", "left_semi").select("node", "up", "sum"), "reply-jump")
     n = messages.count()
-    jumps = []
-    depth = messages.select("node", F.lit(0).cast("long").alias("depth"))
+    tables = []
     while not step.isEmpty():
-        if 1 << len(jumps) > n:
+        if 1 << len(tables) > n:
             raise ValueError("replies form a cycle")
-        jumps.append(step)
-        above = step.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        step = materialize(step.join(above, "up").select("node", F.col("up2").alias("up")), "reply-jump")
-    # from the longest jump down: a node that can jump 2^k does, and goes on from where it lands
-    at = depth.select("node", F.col("node").alias("at"), "depth")
-    for k in range(len(jumps) - 1, -1, -1):
-        jump = jumps[k].select(F.col("node").alias("at"), "up")
-        at = at.join(jump, "at", "left").select(
-            "node", F.coalesce("up", "at").alias("at"), (F.col("depth") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("depth")
-        )
-        at = materialize(at, "reply-place")
-    return jumps, at.select("node", F.col("at").alias("root"), "depth")
+        tables.append(step)
+        above = step.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"))
+        step = materialize(step.join(above, "up").select("node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum")), "reply-jump")
+    if not tables:
+        return []
+    levels = reduce(DataFrame.unionByName, [t.select("node", F.lit(k).alias("level")) for k, t in enumerate(tables)])
+    levels = materialize(levels.groupBy("node").agg(F.max("level").alias("level")), "reply-level")
+    up_level = levels.select(F.col("node").alias("up"), F.col("level").alias("up_level"))
+    return [materialize(t.join(up_level, "up", "left").select("node", "up", "up_level", "sum"), "reply-jump") for t in tables]
+
+
+def climb(leaves: DataFrame, messages: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """``leaf, root, depth, sum`` of every leaf (a column ``node``): its root, and the scores along its branch.
+
+    From the longest jump down a leaf that can jump 2^k does, and goes on from where it lands. A leaf takes part in
+    as many joins as its depth has ones in binary.
+    """
+    at = leaves.select(F.col("node").alias("leaf"), F.col("node").alias("at"), F.lit(0).cast("long").alias("depth"), F.lit(0.0).alias("sum"))
+    if jumps:
+        tops = reduce(DataFrame.unionByName, [t.select(F.col("node").alias("at"), F.lit(k).alias("level")) for k, t in enumerate(jumps)])
+        tops = tops.groupBy("at").agg(F.max("level").alias("level"))
+        at = materialize(at.join(tops, "at", "left").select("leaf", "at", "level", "depth", "sum"), "reply-place")
+        for k in range(len(jumps) - 1, -1, -1):
+            far = at.filter(F.col("level") == k)
+            jump = jumps[k].select(F.col("node").alias("at"), "up", "up_level", F.col("sum").alias("more"))
+            moved = far.join(jump, "at").select(
+                "leaf", F.col("up").alias("at"), F.col("up_level").alias("level"), (F.col("depth") + (1 << k)).alias("depth"), (F.col("sum") + F.col("more")).alias("sum")
+            )
+            at = materialize(at.filter(F.col("level").isNull() | (F.col("level") != k)).unionByName(moved), "reply-place")
+    own = messages.select(F.col("node").alias("at"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("own"))
+    return at.join(own, "at").select("leaf", F.col("at").alias("root"), "depth", (F.col("sum") + F.col("own")).alias("sum"))
 
 
 def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     """The ``top`` best root-to-leaf paths of every tree, one row per node on one: ``root, leaf, rank, node, depth``.
 
     A branch's score is the sum of ``score`` (null: 0) along it; equal ones go by depth (longer first), then by leaf.
-    Scores climb the tree by the same jumps; the chosen leaves' ancestors are then marked from the longest jump down,
-    so the rows written are the chosen paths' nodes, never a path per node.
+    Leaves climb to their root by jumps; the chosen leaves' ancestors are then marked from the longest jump down,
+    so the rows written are the chosen paths' nodes, never a path per node. Nodes are unique (see
+    :func:`distinct_messages`); an empty table has no branch.
     """
-    jumps, place = ancestors(messages)
-    place = materialize(place, "reply-place")
-    sums = messages.select("node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum"))
-    for jump in jumps:  # after table k: the sum over a node and the 2^(k+1) - 1 above it
-        above = sums.select(F.col("node").alias("up"), F.col("sum").alias("more"))
-        sums = materialize(
-            sums.join(jump, "node", "left").join(above, "up", "left").select("node", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum")),
-            "reply-sum",
-        )
+    jumps = jumps_of(messages)
     inner = messages.select(F.col("parent").alias("node")).filter("node is not null").distinct()
-    leaves = place.join(inner, "node", "left_anti").join(sums, "node")
-    order = Window.partitionBy("root").orderBy(F.desc("sum"), F.desc("depth"), "node")
+    leaves = climb(messages.select("node").join(inner, "node", "left_anti"), messages, jumps)
+    order = Window.partitionBy("root").orderBy(F.desc("sum"), F.desc("depth"), "leaf")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    on = chosen.select("root", F.col("node").alias("leaf"), "rank", "node")
-    for jump in reversed(jumps):
-        on = on.unionByName(on.join(jump, "node").select("root", "leaf", "rank", F.col("up").alias("node"))).distinct()
-        on = materialize(on, "reply-branch")  # else every step would double the plan
-    return on.join(place.select("node", "depth"), "node")
+    on = materialize(chosen.select("root", "leaf", "rank", F.col("leaf").alias("node"), "depth"), "reply-branch")
+    for k in range(len(jumps) - 1, -1, -1):
+        jump = jumps[k].select("node", "up")
+        above = on.join(jump, "node").select("root", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+        on = materialize(on.unionByName(above).distinct(), "reply-branch")  # else every step would double the plan
+    return on
 
 
 def format_branches(messages: DataFrame, top: int = 1, trained: str = "assistant") -> DataFrame:
@@ -92,7 +118,9 @@ def format_branches(messages: DataFrame, top: int = 1, trained: str = "assistant
     ``messages`` has ``node, parent, role, text, score``. ``loss_spans`` are the code points (start, end exclusive) of the
     texts of ``trained`` turns in ``formatted``: the escaped text without head and end mark. Null roles and texts are
     empty. One conversation is one row, so its turns meet in one task; their texts are joined to it only there.
+    Rows without a node are left out; of several with one node the smallest counts. Other columns are not read.
     """
+    messages = distinct_messages(messages)
     path = branches(messages, top).join(
         messages.select("node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "node"
     )

@@ -68,3 +68,24 @@ def test_chains_with_nulls_and_repeats(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'k' as node", "9 as depth")
     got = read(chat.format_branches(chat.chains(turns)))
     assert sorted(len(t) for t, _ in got.values()) == [2, 3]
+
+
+def test_repeated_and_null_nodes_and_clashing_columns(spark):
+    long = "word # < \\ " * 20_000
+    rows = [("a", None, "user", "first", 0.0), ("a", None, "user", "second", 5.0), ("b", "a", "assistant", long, 1.0), ("b", "a", "assistant", long, 1.0),
+            (None, "a", "assistant", "no node", 9.0), ("c", "a", None, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as root", "7 as depth", "7 as rank", "'y' as leaf", "0 as up", "0 as level")
+    got = read(chat.format_branches(frame, top=2))
+    assert got == {("a", 1): ([("user", "first"), ("assistant", long)], long), ("a", 2): ([("user", "first"), ("", "")], "")}
+
+
+def test_joins_grow_with_the_nodes_not_with_the_deepest_tree(spark):
+    """Many short chains beside a deep one: every jump table has the nodes that are deep enough, no more."""
+    rows = [(f"s{i}", f"s{i - 1}" if i % 4 else None, "user", "x", 1.0) for i in range(400)]
+    rows += [(f"d{i}", f"d{i - 1}" if i else None, "user", "x", 1.0) for i in range(100)]
+    messages = spark.createDataFrame(rows, SCHEMA)
+    sizes = [t.count() for t in chat.jumps_of(messages)]
+    assert sizes == [sum(min(i % 4 if i < 400 else i - 400, 10**6) >= 1 << k for i in range(500)) for k in range(7)]
+    leaves = spark.createDataFrame([("s3",), ("d99",), ("d0",)], "node string")
+    got = {r.leaf: (r.root, r.depth, r.sum) for r in chat.climb(leaves, messages, chat.jumps_of(messages)).collect()}
+    assert got == {"s3": ("s0", 3, 4.0), "d99": ("d0", 99, 100.0), "d0": ("d0", 0, 1.0)}
