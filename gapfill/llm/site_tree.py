@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from functools import lru_cache
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,14 +12,18 @@ from pyspark.sql import functions as F
 
 from gapfill.session import materialize
 
-from .common import map_slices
+from .common import map_slices, worker_cache
 from .url_filter import parse
 
-#: A site is judged by its tree only with so many different pages.
-MIN_PAGES = 8
-#: A branch has to be on this share of a site's pages to be judged, and goes below this importance.
-MIN_SHARE = 0.5
-MIN_IMPORTANCE = 0.3
+#: Every branch starts as important as so many pages that all differ make it; what its own pages say is added to that.
+PRIOR_PAGES = 20
+#: Below this importance a branch goes. Beside an article it needs that much by its own pages' evidence to stay.
+MIN_IMPORTANCE = 0.85
+MIN_EVIDENCE = 0.45
+#: Branches on a smaller share of a site's pages are not looked up, so that a site's lists are as long as 50 pages have branches.
+MIN_SHARE = 0.02
+#: Entropy of a branch that is the same in form and all different in content is 1 - PRESENTATION; a proven one is close to it.
+PROVEN = 0.87
 #: Weight of the presentation (child order) against the content in a branch's importance.
 PRESENTATION = 0.1
 
@@ -60,9 +63,17 @@ _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@lru_cache(4096)
 def _style(attributes: str) -> tuple[str, bool]:
     """What of an element's attributes makes its style, and whether they name a part that is not main text."""
+    known = worker_cache("styles")
+    if attributes not in known:
+        if len(known) >= 4096:
+            known.clear()
+        known[attributes] = _read_style(attributes)
+    return known[attributes]
+
+
+def _read_style(attributes: str) -> tuple[str, bool]:
     key, apart = [], False
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -234,13 +245,19 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return tree.join(size, "host")
 
 
-def noise(tree: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """``host, drop, keep``: the paths that go, and the important ones. Each is on ``min_share`` of its site's pages, so
-    both lists are as long as 1 / ``min_share`` pages have branches at most."""
-    common = tree.filter((F.col("pages") >= min_pages) & (F.col("on_pages") >= min_share * F.col("pages")))
-    low = F.col("importance") < min_importance
-    paths = {"drop": F.when(low, F.col("path")), "keep": F.when(~low, F.col("path"))}
-    return common.groupBy("host").agg(*(F.collect_set(c).alias(n) for n, c in paths.items()))
+def noise(tree: DataFrame, prior_pages: float = PRIOR_PAGES, min_importance: float = MIN_IMPORTANCE, min_share: float = MIN_SHARE) -> DataFrame:
+    """``host, drop, keep``: the paths that go, and those proven important.
+
+    A branch on m pages with an entropy e counts as (m e + ``prior_pages``) / (m + ``prior_pages``): on few pages nothing
+    but many equal contents makes it unimportant, on many pages its own entropy decides. Every site is judged.
+    """
+    common = tree.filter(F.col("on_pages") >= min_share * F.col("pages"))
+    seen = F.col("on_pages") * F.col("importance") / (F.col("on_pages") + prior_pages)
+    low = seen + F.lit(prior_pages) / (F.col("on_pages") + prior_pages) < min_importance
+    proven = (F.col("importance") > PROVEN) & (seen >= MIN_EVIDENCE - 1e-9)
+    paths = {"drop": F.when(low, F.col("path")), "keep": F.when(~low & proven, F.col("path"))}
+    lists = common.groupBy("host").agg(*(F.collect_set(c).alias(n) for n, c in paths.items()))
+    return lists.filter((F.size("drop") > 0) | (F.size("keep") > 0))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -249,8 +266,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Branches whose importance in their site's tree is low go, and so do parts that their element or style names as
     menu, header, footer, sidebar, notice, advert, form or comments. An article (``article``, ``main``) is main text by its
     name: its paragraphs and headings stay even if many pages share them, unless a part around them goes. Beside an article,
-    blocks stay whose own branch the tree finds important; a site with fewer than ``MIN_PAGES`` pages has no such
-    evidence, nor has text right in the body. Null or empty html gives empty text; a
+    blocks stay whose own branch is important by the evidence of many pages; text right in the body never has it. Null or empty html gives empty text; a
     null url or one without a host belongs to no site. Repeated rows are extracted each.
     """
     hosted = pages.select("page_id", "url", "html", parse(F.col("url"))["host"].alias("host"))

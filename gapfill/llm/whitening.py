@@ -216,10 +216,9 @@ def fit(rows: DataFrame, vec: str = "embedding", count: int = COMPONENTS) -> Whi
     return Whitening(n, sums, values[:k], basis[:, :k], float(np.trace(covariance)))
 
 
-def _projector(model: Whitening):
-    """From ``n x - S`` to whitened coordinates."""
-    matrix = model.vectors / model.scales / model.n
-    return lambda c: c.astype(float) @ matrix
+def _sent(rows: DataFrame, model: Whitening):
+    """Count, sums and the matrix from ``n x - S`` to whitened coordinates, broadcast as plain values."""
+    return rows.sparkSession.sparkContext.broadcast((model.n, model.sums, model.vectors / model.scales / model.n))
 
 
 def transform(rows: DataFrame, model: Whitening, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -228,7 +227,7 @@ def transform(rows: DataFrame, model: Whitening, key: str = "vec_id", vec: str =
     ``deviation`` is the exact sum of (n x - S)^2, null where that exceeds a long.
     """
     kind = rows.schema[key].dataType.simpleString()
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = _sent(rows, model)
     d, k = len(model.sums), len(model.values)
     schema = StructType.fromDDL(f"id {kind}, deviation long, whitened array<double>")
 
@@ -236,17 +235,17 @@ def transform(rows: DataFrame, model: Whitening, key: str = "vec_id", vec: str =
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        model = shared.value
-        project, sums = _projector(model), np.array(model.sums, dtype=object)
+        n, sums, matrix = shared.value
+        sums = np.array(sums, dtype=object)
         out = to_arrow_schema(schema)
         for part, x in _batches(batches, 1, d):
-            c = _centred(x, model.n, sums)
+            c = _centred(x, n, sums)
             if c.dtype == object or np.square(c.astype(float)).sum(axis=1).max(initial=0) > 2.0**62:
                 exact = [sum(int(v) ** 2 for v in row) for row in c]
                 deviation = [v if v < 1 << 63 else None for v in exact]
             else:
                 deviation = (c * c).sum(axis=1)
-            w = pa.array(project(c).ravel(), from_pandas=True)
+            w = pa.array((c.astype(float) @ matrix).ravel(), from_pandas=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * k + 1, k, dtype=np.int32)), w)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(deviation, pa.int64()), lists.cast(out.field(2).type)], schema=out)
 
@@ -262,13 +261,13 @@ def identity_error(rows: DataFrame, model: Whitening, vec: str = "embedding") ->
     d, k = len(model.sums), int(fine.sum())
     if not k:
         return 0.0
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = _sent(rows, model)
 
     def products(batches):
-        model = shared.value
-        project, sums = _projector(model), np.array(model.sums, dtype=object)
+        n, sums, matrix = shared.value
+        sums = np.array(sums, dtype=object)
         for part, x in _batches(batches, 0, d):
-            w = project(_centred(x, model.n, sums))[:, fine]
+            w = (_centred(x, n, sums).astype(float) @ matrix)[:, fine]
             yield part, w.T @ w
 
     return float(np.abs(_summed_blocks(rows.select(vec), k, products) / model.n - np.eye(k)).max())

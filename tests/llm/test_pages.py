@@ -1,5 +1,11 @@
 """URL filter and page extraction on small sites."""
 
+import math
+import random
+import re
+from collections import Counter
+from html.parser import HTMLParser
+
 import pytest
 
 from gapfill.llm import site_tree as st
@@ -133,3 +139,79 @@ def test_tree_judges_inside_and_beside_articles(spark):
     rows += [(200, "http://small.com/", cards(0))]
     got = {r.page_id: r.text for r in st.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
     assert got[3] == "Story 3 as told. Same end" and got[104] == "Story 4 in full. Other 1" and got[200] == "Other 0"
+
+
+class _Dom(HTMLParser):
+    """Elements of a well-formed page with their path, the paths of their children and what they say."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.found, self.open = {}, [(0, [], [])]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        path = st._hash(self.open[-1][0], tag, " ".join(re.sub("[0-9]+", "0", v) for _, v in attrs))
+        self.open[-1][1].append(path)
+        self.open.append((path, [], []))
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+    def handle_endtag(self, tag):
+        path, kids, said = self.open.pop()
+        if said:
+            self.found.setdefault(path, []).append((tuple(kids), tuple(said)))
+            self.open[-1][2].append(tuple(said))
+
+
+def _entropy(values):
+    counts, m = Counter(values), len(values)
+    return -sum(n / m * math.log2(n / m) for n in counts.values()) / math.log2(m) if m > 1 else 1.0
+
+
+def test_style_tree_against_plain_entropies(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["ant", "bee", "cat", "dog"])
+    rows = []
+    for i in range(60):
+        extra = f"<div class='x{i % 3}'><p>{word()}</p><p>{word()}</p></div>" * rng.randint(0, 2)
+        page = f"<div class='top'><p>{word()}</p></div><section><div class='deep'><p>{i // 2}</p></div></section>{extra}"
+        rows.append((i, f"http://{rng.choice(['a.com', 'b.org'])}/{i}", page))
+    rows += rows[:10]
+    pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "regexp_extract(url, '//([^/]+)', 1) as host")
+    got = {(r.host, r.path): (r.pages, r.on_pages, r.importance) for r in st.style_tree(pages).collect()}
+    sites = {}
+    for _, url, page in rows:
+        sites.setdefault(url.split("/")[2], set()).add(page)
+    want = {}
+    for host, distinct in sites.items():
+        doms = [_Dom(page).found for page in sorted(distinct)]
+        for path in {p for d in doms for p in d}:
+            kids, said = zip(*[(tuple(k for k, _ in d[path]), tuple(w for _, w in d[path])) for d in doms if path in d])
+            share = st.PRESENTATION * _entropy(kids) + (1 - st.PRESENTATION) * _entropy(said)
+            want[host, path] = (len(doms), len(kids), pytest.approx(share, abs=1e-9))
+    assert got == want
+
+
+def test_the_tree_decides_where_nothing_is_named(spark):
+    """The given pages without element names: on sites with many pages the tree finds the adverts and keeps the articles."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    named = {r.page_id: r.text for r in st.extract(pages).collect()}
+    plain = pages.selectExpr(
+        "page_id", "url", """replace(replace(replace(html, '<div class="ad">', '<div class="ux">'), '<article>', '<div class="uy">'), '</article>', '</div>') as html"""
+    )
+    by_tree = {r.page_id: (r.url.split("/")[2], r.text) for r in st.extract(plain).collect()}
+    alone = {r.page_id: st.main_text(r.html) for r in plain.collect()}
+    changed = [i for i, (_, text) in by_tree.items() if text != alone[i]]
+    assert len(changed) > 250 and all(by_tree[i][1] == named[i] for i in changed)
+    large = [i for i, (host, _) in by_tree.items() if host in ("blog.tionsh.example.com", "tionble.example.org")]
+    assert len(large) > 400 and all(by_tree[i][1] == named[i] for i in large)
+    assert all(text.endswith(named[i]) for i, (_, text) in by_tree.items())
+
+
+def test_long_pages_and_clashing_columns_with_a_tree(spark):
+    long = "<div class='end'>Same end</div><div><p>" + "word " * 100_000 + "</p></div>"
+    rows = [(i, "http://a.com/", long.replace("word", f"w{i}")) for i in range(12)]
+    pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "'x' as `drop`", "'y' as keep", "1 as host", "2 as path")
+    got = {r.page_id: r.text for r in st.extract(pages).collect()}
+    assert all(got[i] == " ".join([f"w{i}"] * 100_000) for i in range(12))
