@@ -8,11 +8,8 @@ from checks import fixtures
 from checks.compare import connect, normal_rows
 
 SF = "/root/testdata/sf0.001"
-# Covered by brute-force and unit tests on small tables.
-SLOW = {
-    "screen_all", "run_batch", "sweep", "fit_regressor", "screen_fit", "near_dup_gate", "prompt_impute", "knn_impute",
-    "iterative_text_impute", "svd_embed",
-}
+# A dozen model fits each, covered by unit tests on small tables.
+SLOW = {"screen_all", "run_batch"}
 
 
 @pytest.fixture(scope="module")
