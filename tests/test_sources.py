@@ -163,3 +163,16 @@ def test_scratch(spark):
     assert df.count() == 5 and "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()
     assert in_parallel([lambda: 1, lambda: 2, lambda: 3]) == [1, 2, 3]
     assert gather(small(spark), 10).rdd.getNumPartitions() == 1
+
+
+def test_metric_names_are_found(spark, monkeypatch):
+    from gapfill.sources import results
+
+    rows = [(1, {"eval_rmse": 0.5, "z": 1.0}), (2, {"test_mae": 2.0}), (3, {}), (4, None)]
+    df = spark.createDataFrame(rows, "id int, metrics map<string,double>")
+    assert results.metric_keys(df) == ["eval_rmse", "test_mae", "z"]
+    got = results.expand_metrics(df).drop("metrics").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 0.5, None, 1.0), (2, None, 2.0, None), (3, None, None, None), (4, None, None, None)]
+    monkeypatch.setattr(results, "MAX_METRICS", 2)
+    with pytest.raises(ValueError):
+        results.metric_keys(df)
