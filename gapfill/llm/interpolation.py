@@ -141,9 +141,10 @@ def _answers(parts: int):
     def run(key, table):
         part = key[0].as_py()
         rows = []
-        for n in sorted(set(table["n_gram"].to_pylist())):
-            asked = [r for r in table.to_pylist() if r["n_gram"] == n]
-            low = _lows(parts)[part]
+        every = table.to_pylist()
+        low = _lows(parts)[part]
+        for n in sorted({r["n_gram"] for r in every}):
+            asked = [r for r in every if r["n_gram"] == n]
             hashes = np.concatenate([unpack_sorted(r["words"], r["size"], low) for r in asked])
             distinct, at = np.unique(hashes, return_inverse=True)
             sums = [
@@ -209,12 +210,23 @@ class Counted:
             out[seen] = 64 * n + np.frexp(context[seen].astype(float))[1] - 1
         return out
 
-    def estimates(self, totals: Totals) -> np.ndarray:
-        """Likelihoods of each token: of any token at all (unknown ones are one more), then of each order."""
-        parts = [np.full(len(self.words), 1 / (totals.distinct + 1))]
-        for count, context in zip(self.of, self.before, strict=True):
-            parts.append(count / np.maximum(context, 1))
-        return np.stack(parts, axis=1)
+    def estimate(self, n: int, totals: Totals) -> np.ndarray:
+        """Likelihood of each token by order ``n``; by order 0, that of any token at all (unknown ones are one more)."""
+        if n == 0:
+            return np.full(len(self.words), 1 / (totals.distinct + 1))
+        return self.of[n - 1] / np.maximum(self.before[n - 1], 1)
+
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """One token of every kind (those of a kind have the same counts throughout), and how many there are."""
+        counts = [*self.of, *self.before]
+        order = np.lexsort(counts)
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in counts:
+            sorted_ = c[order]
+            new[1:] |= sorted_[1:] != sorted_[:-1]
+        first = np.flatnonzero(new)
+        return order[first], np.diff(np.append(first, len(order)))
 
 
 def _crc(key: Column) -> Column:
@@ -266,10 +278,10 @@ class Mixture:
     order: int
     weights: dict[int, tuple[float, ...]]
 
-    def of(self, buckets: np.ndarray) -> np.ndarray:
-        table = {int(b): self._weights(int(b)) for b in np.unique(buckets)}
+    def of(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row of weights per bucket there is, and which row each of ``buckets`` takes."""
         distinct, at = np.unique(buckets, return_inverse=True)
-        return np.array([table[int(b)] for b in distinct]).reshape(-1, self.order + 1)[at]
+        return np.array([self._weights(int(b)) for b in distinct]).reshape(-1, self.order + 1), at
 
     def _weights(self, bucket: int) -> tuple[float, ...]:
         near = [b for b in self.weights if b // 64 == bucket // 64]
@@ -326,15 +338,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     event = StructType.fromDDL("bucket long, p array<double>, n long")
 
     def events(key, texts, counts):
-        import pandas as pd
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
         if not texts.num_rows or not kept.tokens:
             return _arrow([], event)
         counted = Counted(texts["text"], counts, order, "kept", kept)
-        frame = pd.DataFrame(counted.estimates(kept))
-        frame["bucket"] = counted.buckets()
-        sizes = frame.groupby(list(frame.columns), sort=False).size()
-        return _arrow([(int(k[-1]), list(k[:-1]), int(n)) for k, n in sizes.items()], event)
+        one, times = counted.kinds()
+        p = pa.array(np.stack([counted.estimate(n, kept)[one] for n in range(order + 1)], axis=1).ravel())
+        offsets = pa.array(np.arange(0, len(p) + 1, order + 1, dtype=np.int32))
+        columns = [pa.array(counted.buckets()[one]), pa.ListArray.from_arrays(offsets, p), pa.array(times)]
+        out = to_arrow_schema(event)
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     def of_slices(where: Column):
         return rows.filter(where).select("slice", "id", "text").groupBy("slice"), answers.filter(where).groupBy("slice")
@@ -353,7 +368,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         counted = Counted(texts["text"], counts, order, "seen", seen)
         firsts = counted.starts[:-1]
         plain = np.log10((counted.of[0] + 1) / (seen.tokens + seen.distinct + 1))
-        mixed = np.log10((counted.estimates(seen) * mixture.of(counted.buckets())).sum(axis=1))
+        table, at = mixture.of(counted.buckets())
+        mixed = np.zeros(len(at))
+        for n in range(order + 1):
+            mixed += counted.estimate(n, seen) * table[at, n]
+        mixed = np.log10(mixed)
         columns = [
             texts["id"].combine_chunks(),
             np.diff(counted.starts),
