@@ -242,3 +242,13 @@ def test_iterative_query_runs_at_the_default_size(monkeypatch):
     monkeypatch.setattr(IterativeTextImputer, "select", lambda self, *_: None, raising=False)
     features.iterative_text_impute(None, "")
     assert made == [256]
+
+
+def test_grid_versions_are_not_written(spark):
+    """The versions are a dozen copies of the texts; fills read them as they are made."""
+    from checks.impute import impute_grid_of
+    from gapfill import session
+
+    before = len(session._WRITTEN)
+    assert impute_grid_of(spark, "/root/testdata/sf0.001").count() == 12 * 200
+    assert not [p for p in session._WRITTEN[before:] if "/versions-" in p]
