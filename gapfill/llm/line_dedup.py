@@ -1,4 +1,7 @@
-"""Line deduplication: chunks of lines whose ends lie in the lines themselves, of which every repeat but the first goes."""
+"""Line deduplication: chunks of lines whose ends lie in the lines themselves, of which every repeat but the first goes.
+
+Windows of lines add the repeats that lie across the ends of chunks.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,8 @@ from .common import fresh, let, map_slices, put, text_key
 #: finds copies at once.
 FAMILIES = ((1_000_003, True), (7_368_787, False))
 WHOLE = len(FAMILIES)
+#: The family of the windows, which may overlap.
+WINDOW = WHOLE + 1
 MODULUS = 2_147_483_647
 #: One line in so many ends a chunk.
 DIVISOR = 2
@@ -56,11 +61,12 @@ def windows(words: list[int]) -> list[tuple[int, int]]:
 
 
 def chunks(text: str, families: tuple[tuple[int, bool], ...] | None = None) -> list[tuple[int, int, int, int]]:
-    """``(first line, lines, family, 64-bit hash)`` of the chunks that count: the text's windows and the whole text.
+    """``(first line, lines, family, 64-bit hash)`` of the chunks that count: side by side, the whole text, and windows.
 
-    With ``families``, chunks side by side instead of the windows: one ends after a line whose rolling hash with the line
-    before it is a multiple of ``DIVISOR``, and in some families around long lines. Inserted lines only change the chunks
-    next to them, but a passage's first and last lines often share a chunk with lines around it, and then stay.
+    Of chunks side by side one ends after a line whose rolling hash with the line before it is a multiple of ``DIVISOR``,
+    and in some families around long lines. Inserted lines only change the chunks next to them, but a passage's first and
+    last lines often share a chunk with lines around it, and then stay. The windows find this rest, so that a repeated
+    run goes whole; with ``families`` given, those chunks and the whole text are all.
     """
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
     words = [len(line.split()) for line in lines]
@@ -73,17 +79,18 @@ def chunks(text: str, families: tuple[tuple[int, bool], ...] | None = None) -> l
             digest = hashlib.md5(b"\n".join(lines[start:stop]), usedforsecurity=False).digest()
             out.append((start, stop - start, family, int.from_bytes(digest[:8], "big", signed=True) ^ family))
 
-    if families is None:
-        for start, n in windows(words):
-            put(start, start + n, 0)
-    for f, (factor, alone) in enumerate(families or ()):
+    covered = set(windows(words) if families is None else ())
+    for start, n in sorted(covered):
+        put(start, start + n, WINDOW)
+    for f, (factor, alone) in enumerate(FAMILIES if families is None else families):
         start, before = 0, 0
         for i, h in enumerate(hashes):
             last = i + 1 == len(lines)
             ends = (before * factor + h) % MODULUS % DIVISOR == 0
             before = h
             if last or ends or alone and (words[i] >= LONG_WORDS or words[i + 1] >= LONG_WORDS):
-                put(start, i + 1, f)
+                if (start, i + 1 - start) not in covered:  # equal lines make equal windows, one row will do
+                    put(start, i + 1, f)
                 start = i + 1
     put(0, len(lines), WHOLE)
     return out
@@ -144,7 +151,8 @@ def find(docs: DataFrame, families: tuple[tuple[int, bool], ...] | None = None)
 
     Null and empty texts have no line (0) and lose none. Rows that repeat both id and text are alike: each keeps what one
     of them keeps. Repeated texts under other ids lose all their chunks. An empty table gives an empty result.
-    ``families`` is that of :func:`chunks`; without it every repeated run of two lines and ``MIN_WORDS`` goes whole.
+    ``families`` is that of :func:`chunks`; without it windows join the chunks, and every repeated run of two lines and
+    ``MIN_WORDS`` goes whole.
     """
     rows, found = repeats(docs, families)
     lost = _lines_of(found).withColumnsRenamed({"doc_id": "d", "key": "k"})

@@ -115,3 +115,14 @@ def test_shared_runs_of_lines_go_whole(spark):
 
 def test_many_blank_lines_are_linear():
     assert len(line_dedup.chunks("ten words " * 10 + "\n" * 100_000 + "ten words " * 10)) < 10
+
+
+def test_chunks_of_rolling_hashes_are_always_among_the_seeds(spark):
+    """The pipeline's stage and the query share the chunks; the windows only add to them."""
+    rows = texts()
+    for _, text in rows:
+        own, found = ({c[:2] for c in line_dedup.chunks(text, f)} for f in (line_dedup.FAMILIES, None))
+        assert own <= found
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own, found = (line_dedup.repeats(docs, f)[1].select("doc_id", "start", "n").distinct() for f in (line_dedup.FAMILIES, None))
+    assert own.count() and own.exceptAll(found).count() == 0
