@@ -176,3 +176,26 @@ def test_metric_names_are_found(spark, monkeypatch):
     monkeypatch.setattr(results, "MAX_METRICS", 2)
     with pytest.raises(ValueError):
         results.metric_keys(df)
+
+
+def test_versions_are_written_small_and_without_a_sort(spark, tmp_path):
+    from gapfill.sources.catalogue import read_versions, write_versions
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    df = spark.createDataFrame([(i, "t", m, r) for i in range(20) for m in ("mar", "mcar") for r in ("05", "100")], "k int, text string, mechanism string, missing_rate string")
+    path = write_versions(df, str(tmp_path / "v"))
+    assert spark.conf.get(name) == before and all(".zstd." in f.name for f in (tmp_path / "v").rglob("*.parquet"))
+    assert sorted(map(tuple, read_versions(spark, path).select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_filled_versions_train_without_being_written(spark):
+    from checks.screening import filled_versions
+    from gapfill import session
+    from gapfill.plans.screening import run_batch
+
+    before = len(session._WRITTEN)
+    filled = filled_versions(spark, "/root/testdata/sf0.001")
+    one = filled.filter("imputer = 'simple_most_frequent' and mechanism = 'mar' and missing_rate = '30'")
+    assert one.count() == 200 and not [p for p in session._WRITTEN[before:] if "/versions-" in p or "/filled-" in p]
+    assert run_batch({"one": one}, "row_id").first()["exit_code"] == 0
