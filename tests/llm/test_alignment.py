@@ -130,3 +130,17 @@ def test_empty_table_and_groups(spark):
     one = alignment.aligned(spark.createDataFrame([(1, "Hello worlds")], "doc_id long, text string"), keep_groups=True).first()
     assert one["groups"].count(";") + 1 == one["n_groups"] and hashlib.sha256(one["groups"].encode()).hexdigest() == one["groups_sha256"]
     assert np.sum(one["times"]) == one["n_links"]
+
+
+def test_runs_shorter_than_a_probe_are_not_probed(monkeypatch):
+    """Most runs are short: each of them once cost several slices and a halving."""
+    calls = []
+    true = alignment.run_length
+    monkeypatch.setattr(alignment, "run_length", lambda *args: calls.append(1) or true(*args))
+    a = [x for block in range(50) for x in (10 * block + 1, 10 * block + 4, 10 * block + 9)]
+    b = [x for block in range(50) for x in (10 * block + 1, 10 * block + 5, 10 * block + 9)]
+    left, right = alignment.align(a, b)
+    assert not calls
+    spans = [[(x, y) for x, y in zip([0, *ends], ends)] for ends in (a, b)]
+    want = [(i, j) for i, s in enumerate(spans[0]) for j, t in enumerate(spans[1]) if s[0] < t[1] and t[0] < s[1]]
+    assert list(zip(left, right)) == want
