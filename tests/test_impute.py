@@ -158,6 +158,20 @@ def test_pruned_search_against_brute_force(spark, monkeypatch, block):
     assert topk_similar(frame(q), frame(c[:0]), 3, pruned=True).count() == 0
 
 
+def test_dense_rows_are_sent_to_groups_not_to_clusters(spark, monkeypatch):
+    """Vectors without clusters: bounds leave nothing out, yet a query is sent once per group, of which there are few."""
+    monkeypatch.setattr(similar, "CLUSTER_ROWS", 2)
+    monkeypatch.setattr(similar, "GRID_ROWS", 50)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(12)) for i in range(200)] + [(1000 - i, np.ones(12)) for i in range(60)]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in rows], "id long, vec array<double>")
+    monkeypatch.setattr(similar, "_pruned", None)
+    assert _found(topk_similar(df, df, 4, pruned=True)) == _brute_topk(rows, rows, 4, _cosine)
+    monkeypatch.setattr(similar, "GRID_BYTES", 8 * 12 * 30)  # more groups than cores need
+    monkeypatch.setattr(similar, "TILE_ROWS", 3)
+    assert _found(topk_similar(df, df, 4, pruned=True)) == _brute_topk(rows, rows, 4, _cosine)
+
+
 def test_pruned_search_of_sparse_rows(spark, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK_ROWS", 7)
     rng = np.random.default_rng(8)
