@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import duck_with, fixture, query, table
 from checks.impute import BLANK
-from gapfill.functions.text import ngrams, term_counts
 from gapfill.operators.chained import ChainedRidgeImputer
 from gapfill.operators.context import ContextEncoder
 from gapfill.operators.knn import IterativeTextImputer, KnnTextImputer, embed_observed, knn_donors
 from gapfill.operators.similar import nearest_text, topk_similar
+from gapfill.operators.terms import counted
 from gapfill.operators.tfidf import TfIdf, vocabulary
 from gapfill.session import spread
 
@@ -42,8 +42,9 @@ def tfidf_sql(grams: str, n: str, max_features: int, name: str, min_df: int = 1)
 )
 def ngrams_of(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    counted = docs.select("doc_id", F.explode(term_counts(ngrams("text"))).alias("t"))
-    return counted.select("doc_id", "t.term", F.col("t.tf").alias("n"))
+    found = docs.select("doc_id", counted("text").alias("t"))
+    found = found.select("doc_id", F.explode(F.arrays_zip("t.terms", "t.tf")).alias("t"))
+    return found.select("doc_id", F.col("t.terms").alias("term"), F.col("t.tf").alias("n"))
 
 
 @query(

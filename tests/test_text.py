@@ -110,3 +110,30 @@ def test_tfidf(spark):
     with pytest.raises(ValueError):
         TfIdf("t", 10).fit(df.filter("k = 3"))
     assert TfIdf("t", 1, ngram=(1, 1)).fit(df).terms == ("a",)
+
+
+def test_words_by_lookup_and_known_terms_equal_full_counts():
+    """Bytes are looked up at once and terms outside the vocabulary never put together; both as the expression has it."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from gapfill.operators import terms
+
+    rng = random.Random(3)
+    letters = "aaabbz9_  \n\t.-日本٣😀́ß"
+    for _ in range(200):
+        texts = pa.array(["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(rng.randint(1, 7))], pa.string()).slice(rng.randint(0, 1))
+        for min_len in (1, 2):
+            words, starts = terms.split_words(texts, min_len)
+            want = [[w for w in pc.split_pattern_regex(pa.array([t]), r"[^\p{L}\p{N}_]+")[0].as_py() if len(w) >= min_len] for t in texts.to_pylist()]
+            assert [words.to_pylist()[a:b] for a, b in zip(starts, starts[1:])] == want
+            for ngram in ((1, 1), (1, 2), (2, 3)):
+                names, own, term, times = terms.count_terms(texts, ngram, min_len)
+                vocabulary = sorted(names.to_pylist())[::2]
+                index = np.array([vocabulary.index(n) if n in vocabulary else -1 for n in names.to_pylist()], np.int64)[term]
+                have = index >= 0
+                got = terms.KnownTerms(vocabulary, ngram).count(texts, min_len)
+                assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(own[have].tolist(), index[have].tolist(), times[have].tolist()))
