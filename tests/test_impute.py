@@ -266,3 +266,25 @@ def test_grid_versions_are_not_written(spark):
     before = len(session._WRITTEN)
     assert impute_grid_of(spark, "/root/testdata/sf0.001").count() == 12 * 200
     assert not [p for p in session._WRITTEN[before:] if "/versions-" in p]
+
+
+def test_vocabulary_without_rare_terms(spark, monkeypatch):
+    """Buckets of rare terms are left out before the shuffle; the most frequent terms, ties too, are the same."""
+    import gapfill.operators.tfidf as tfidf
+
+    rng = np.random.default_rng(4)
+    p = 1 / np.arange(1, 301)
+    rows = [(i, " ".join(f"w{j}" for j in rng.choice(300, rng.integers(0, 60), p=p / p.sum())), int(rng.integers(1, 4))) for i in range(300)]
+    df = spark.createDataFrame([*rows, (1000, None, 1)], "k long, text string, n long")
+    counted = []
+    true = tfidf.term_sums
+    monkeypatch.setattr(tfidf, "term_sums", lambda *args: counted.append(true(*args)) or counted[-1])
+    for most, args in ((50, {}), (50, {"min_df": 20, "weight": "n"}), (40, {"ngram": (2, 3)}), (100_000, {"min_df": 2})):
+        found = []
+        for limit in (1 << 40, 0):
+            counted.clear()
+            monkeypatch.setattr(tfidf, "PRUNE_BYTES", limit)
+            found.append(([tuple(r) for r in tfidf.vocabulary(df, "text", most, **args).collect()], counted[0].count()))
+        assert found[0][0] == found[1][0] and len(found[0][0]) == (most if most < 1000 else len(found[0][0]))
+        if most < 1000:
+            assert found[1][1] < found[0][1] / 2
