@@ -1,8 +1,9 @@
 """Truncated SVD embedding of sparse vectors.
 
-Subspace iteration: a small dense block is multiplied by the Gram matrix in one distributed
-pass per round, so the vocabulary-wide Gram matrix is never formed and the data are only scanned.
-A pass has one task per core, however many files the vectors lie in, so that few blocks leave the tasks.
+Subspace iteration: a small dense block is multiplied by the Gram matrix round by round. Up to ``GRAM_DIM`` terms the Gram
+matrix is formed in one pass over the data, and the rounds read it alone. For larger vocabularies it is never formed: a
+round is a pass that multiplies the block. A pass has one task per core, however many files the vectors lie in, so that few
+matrices leave the tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from gapfill.operators.blocks import BLOCK_SCHEMA, emit_blocks, sum_blocks
 from gapfill.session import materialize
 
 BATCH_ROWS = 256  # rows densified at a time inside a task
+#: Terms up to which the Gram matrix is formed (128 MB), and rows that are multiplied at a time for it.
+GRAM_DIM = 4096
+GRAM_ROWS = 1024
 
 
 def _dense_rows(indices: pd.Series, values: pd.Series, dim: int) -> np.ndarray:
@@ -58,6 +63,47 @@ def gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
     return sum_blocks(products, block.shape, parts).get(b"", np.zeros(block.shape))
 
 
+def gram(rows: DataFrame, dim: int) -> np.ndarray:
+    """``A^T A`` for the sparse rows ``A`` (columns ``_i``, ``_v``), formed in one pass.
+
+    Tasks send their sums in strips, which are added up strip by strip before they reach the driver.
+    """
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    strip = -(-dim // parts)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, product = np.zeros((dim, dim)), np.empty((dim, dim))
+        for batch in batches:
+            index, value = (c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns)
+            starts = np.concatenate([[0], np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False))])
+            for at in range(0, batch.num_rows, GRAM_ROWS):
+                own = starts[at : at + GRAM_ROWS + 1]
+                some = slice(own[0], own[-1])
+                a = np.zeros((len(own) - 1, dim))
+                a[np.repeat(np.arange(len(a)), np.diff(own)), index[some]] = value[some]
+                total += np.matmul(a.T, a, out=product)
+        del product
+        for at in range(0, dim, strip):
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + strip].tobytes()], pa.binary())], ["at", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(part.as_buffer())
+                sums[at] = sums[at] + own if at in sums else own.copy()
+        for at, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([own.tobytes()], pa.binary())], ["at", "part"])
+
+    schema = "at long, part binary"
+    strips = rows.coalesce(parts).mapInArrow(partial, schema).repartition(parts, "at").mapInArrow(add, schema)
+    out = np.zeros((dim, dim))
+    for r in strips.collect():  # the strips of one matrix, each once
+        own = np.frombuffer(r["part"]).reshape(-1, dim)
+        out[r["at"] : r["at"] + len(own)] = own
+    return out
+
+
 @dataclass(frozen=True)
 class SvdEmbed:
     """Right singular subspace of the vectors; pass-through when there are no more than k terms."""
@@ -76,11 +122,16 @@ class SvdEmbed:
         width = min(k + self.oversampling, dim)
         rows = df.filter(F.col(self.vector).isNotNull()).select(*sparse_parts(self.vector))
         rows = rows if stored else materialize(rows, "svd-rows")
+        whole = gram(rows, dim) if dim <= GRAM_DIM else None
+
+        def times(block: np.ndarray) -> np.ndarray:
+            return gram_times(rows, block) if whole is None else whole @ block
+
         rng = np.random.default_rng(self.seed)
         basis, _ = np.linalg.qr(rng.standard_normal((dim, width)))
         for _ in range(self.rounds):
-            basis, _ = np.linalg.qr(gram_times(rows, basis))
-        small = basis.T @ gram_times(rows, basis)
+            basis, _ = np.linalg.qr(times(basis))
+        small = basis.T @ times(basis)
         values, vectors = np.linalg.eigh((small + small.T) / 2)
         top = np.argsort(values)[::-1][:k]
         components = basis @ vectors[:, top]
