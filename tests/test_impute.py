@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -288,3 +290,24 @@ def test_vocabulary_without_rare_terms(spark, monkeypatch):
         assert found[0][0] == found[1][0] and len(found[0][0]) == (most if most < 1000 else len(found[0][0]))
         if most < 1000:
             assert found[1][1] < found[0][1] / 2
+
+
+@pytest.mark.parametrize("metric", ["nan_distance", "cosine"])
+def test_scores_take_bounded_memory(metric):
+    """A block of queries and one of the corpus are scored in pieces: the memory does not grow with the queries."""
+    rng = np.random.default_rng(2)
+    corpus, ids = np.round(rng.random((2048, 6)), 1), rng.permutation(2048)
+    corpus[rng.random(corpus.shape) < 0.1] = np.nan
+
+    def peak(n):
+        asked = np.random.default_rng(3).random((n, 6))
+        tracemalloc.start()
+        found = similar._best(np.arange(n), asked, ids, corpus, 3, metric)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, top
+
+    few, _ = peak(500)
+    many, top = peak(6000)
+    assert many[many["query"] < 500].reset_index(drop=True).equals(few.reset_index(drop=True))
+    assert top < 120 << 20
