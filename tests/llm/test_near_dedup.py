@@ -102,6 +102,27 @@ def test_common_shingles_are_counted_exactly(spark):
     assert np.allclose(one.idf, nd.idf(50, 200))
 
 
+def test_every_shingle_has_its_idf(spark, monkeypatch):
+    """What 2, 5 and 20 of 80 texts share weighs less and less, whichever slices and ranges of hashes it is dealt to."""
+    rng = random.Random(12)
+    group = text(rng, 100, 10_000).split()
+    rows = [(i, " ".join([*group[: 10 + 18 * i], "other", *group[11 + 18 * i :]])) for i in range(5)]
+    two, twenty = text(rng, 12, 10_000), text(rng, 12, 10_000)
+    rows += [(100 + i, f"{text(rng, 60, 10_000)} {two if i < 2 else twenty if i < 22 else ''}") for i in range(75)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(nd, "SLICE_CHARS", 2_000)
+    monkeypatch.setattr(nd, "PART_CHARS", 5_000)
+    found = nd.common_shingles(docs.selectExpr("trim(text) as norm"), 2 / 80)
+    of = dict(zip(found.common.tolist(), found.idf.tolist(), strict=True))
+    for line, df in ((two, 2), (twenty, 20)):
+        assert np.allclose([of[int(h)] for h in nd.shingles(line)[0]], nd.idf(df, 80))
+    assert 1 > nd.idf(2, 80) > nd.idf(5, 80) > nd.idf(20, 80) > nd.idf(80, 80) >= nd.LEAST_IDF
+    # One word of a hundred differs: 0.81 without weights, but under 0.8 as five texts have what they share.
+    none = nd.Weights(np.array([], np.uint64), np.array([]))
+    assert nd.weighted_jaccard(none.weigh(rows[0][1]), none.weigh(rows[1][1])) > nd.SIMILARITY
+    assert got(nd.classes(docs)) == brute(rows) == {frozenset({i}) for i, _ in rows}
+
+
 def test_odd_rows(spark):
     rows = [(None, None), (1, ""), (2, " \n"), (3, "One two"), (4, "one  TWO"), (4, "one  TWO"), (None, "one two"), (5, "x " * 100_000), (6, "X " * 100_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as bucket", "'n' as norm")
